@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyweir.llm.spans import shared_characters
+from tallyweir.llm.tokenizer import encoded
 from tallyweir.sources.tables import table
 
 
@@ -12,5 +13,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_characters(table(spark, d, "documents"))
 
 
-QUERIES = {"p8_found": p8_found}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoded(table(spark, d, "documents"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p8_found": p8_found}
 SQL: dict[str, str] = {}
