@@ -4,11 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyweir.llm.fusion import best_sources, source_quality, true_values
+from tallyweir.llm.packing import containers
 from tallyweir.llm.spans import shared_characters
 from tallyweir.llm.tokenizer import encoded
 from tallyweir.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return best_sources(table(spark, d, "facts"), table(spark, d, "fact_origins"))
+
+
+def p1_quality(spark: SparkSession, d: str) -> DataFrame:
+    return source_quality(table(spark, d, "facts"), table(spark, d, "fact_origins"))
+
+
+def p1_values(spark: SparkSession, d: str) -> DataFrame:
+    return true_values(table(spark, d, "facts"), table(spark, d, "fact_origins"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return containers(table(spark, d, "documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_characters(table(spark, d, "documents"))
 
@@ -17,5 +35,8 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoded(table(spark, d, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p8_found": p8_found}
+QUERIES = {
+    "p1_found": p1_found, "p1_quality": p1_quality, "p1_values": p1_values, "p6_ids": p6_ids, "p7_containers": p7_containers,
+    "p8_found": p8_found,
+}
 SQL: dict[str, str] = {}
