@@ -55,7 +55,7 @@ class Prefix:
         n = len(self.sums) - k
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mixed((self.sums[k:] - self.sums[:-k]) * self.inverse[:n] + _U(k) * _MIX[0])
+        return mixed((self.sums[k:] - self.sums[:-k]) * self.inverse[:n] + _U(k * int(_MIX[0]) % (1 << 64)))
 
 
 def code_points(text: str) -> np.ndarray:

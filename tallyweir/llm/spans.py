@@ -3,12 +3,14 @@
 Tokens are content-defined anchors: of the ``ANCHOR`` character k-mers in each
 window of ``SPAN`` characters the one with the least hash. Whoever shares a
 window shares its anchor at the same place, so nothing is missed. Anchors are
-the nodes and the exact text from one anchor to the next the edges of a de
-Bruijn graph in token space. Nodes met in two or more records are kept; where
-every record that has a node leaves it by the same edge, the path does not
-branch and is compacted to one proven span. Only windows at the ends of paths,
-where records part, are compared one by one, by 128-bit hashes of their
-content at their source coordinates.
+the nodes of a de Bruijn graph in token space; the edge at a node is the exact
+text of all windows that have this anchor, which reaches over its neighbours.
+
+Nodes met in two or more records are kept. An edge met in two or more records is
+a proven span, whatever its length; where a node has only one edge the path does
+not branch and is done. Only where paths branch are single windows compared, by
+128-bit hashes of their content at their source coordinates: those of edges met
+in one record, and those of the first and last record of the other edges.
 
 No pair of records is ever formed: each step is an aggregation that keeps the
 least and the greatest record of a key, so a passage in a third of all records
@@ -31,15 +33,15 @@ ANCHOR = 100
 #: Window starts of a text handled at a time; bounds memory for texts of any length.
 SEGMENT = 1 << 20
 
-_SKETCH = pa.schema([("tid", pa.int64()), ("part", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("node", pa.int64()), ("back", pa.int64()), ("edge", pa.int64())])
-_CLAIMS = pa.schema([("tid", pa.int64()), ("part", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
+_SKETCH = pa.schema([("tid", pa.int64()), ("part", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("node", pa.int64()), ("edge", pa.int64())])
+_CLAIMS = pa.schema([("tid", pa.int64()), ("part", pa.int32()), ("lo", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
 
 
 def sketch_text(text: str, span: int = SPAN, k: int = ANCHOR, segment: int = SEGMENT):
-    """Anchors of one text: positions, the window starts [lo, hi] each one is the
-    anchor of, node hashes, and hashes of the edges from the anchor before and to
-    the anchor after (0 where there is none).
-    """
+    """Anchors of one text: the window starts [lo, hi] each one is the anchor of,
+    node hashes and edge hashes. An anchor on both sides of a cut between segments
+    is split at the cut's window only if the text is longer than a segment; its
+    parts are joined again."""
     points = code_points(text)
     starts, width = len(points) - span + 1, span - k + 1
     out: list[list[np.ndarray]] = []
@@ -51,23 +53,16 @@ def sketch_text(text: str, span: int = SPAN, k: int = ANCHOR, segment: int = SEG
         picks += np.arange(len(picks))
         first = np.flatnonzero(np.diff(picks, prepend=-1))
         p, last = picks[first], np.append(first[1:], len(picks)) - 1
-        follow = np.append(p[1:], -1)
-        if b < starts:  # the next anchor may lie in the next segment; if not, that segment has its edge
-            beyond = b - a + int(h[b - a : b - a + width].argmin())
-            follow[-1] = beyond if beyond != p[-1] else -1
-        edge = np.zeros(len(p), np.uint64)
-        has = follow >= 0
-        edge[has] = part.spans(p[has], follow[has] + k)
-        got = [p + a, first + a, last + a, h[p], edge]
-        if out and out[-1][0][-1] == got[0][0]:  # one anchor on both sides of the cut
-            out[-1][2][-1], out[-1][4][-1] = got[2][0], edge[0]
+        got = [p + a, first + a, last + a, h[p], part.spans(first, last + span)]
+        if out and out[-1][0][-1] == got[0][0]:
+            # One anchor on both sides: no longer than a window apart, so its text is hashed anew.
+            lo, hi = int(out[-1][1][-1]), int(got[2][0])
+            whole = Prefix(points[lo : hi + span]).spans(np.zeros(1, np.int64), np.array([hi + span - lo]))
+            out[-1][2][-1], out[-1][4][-1] = hi, whole[0]
             got = [x[1:] for x in got]
         if len(got[0]):
             out.append(got)
-    if not out:
-        return None
-    pos, lo, hi, node, edge = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pos, lo, hi, node, np.append(np.zeros(1, np.uint64), edge[:-1]), edge
+    return tuple(np.concatenate(x) for x in list(zip(*out, strict=True))[1:]) if out else None
 
 
 def _sketches(span: int, k: int, segment: int):
@@ -81,68 +76,35 @@ def _sketches(span: int, k: int, segment: int):
                     got.append((np.full(len(one[0]), ids[i]), np.full(len(one[0]), marks[i]), *one))
                     held += len(one[0])
                 if held > 200_000 or (i == len(ids) - 1 and got):
-                    t, m, p, lo, hi, n, b, e = (np.concatenate(x) for x in zip(*got, strict=True))
-                    cols = [t, m, p.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32), n.view(np.int64), b.view(np.int64), e.view(np.int64)]
+                    t, m, lo, hi, n, e = (np.concatenate(x) for x in zip(*got, strict=True))
+                    cols = [t, m, lo.astype(np.int32), hi.astype(np.int32), n.view(np.int64), e.view(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_SKETCH)
                     got, held = [], 0
 
     return run
 
 
-def claims_of(anchors: list[tuple[int, int, int, bool, bool]], span: int, k: int):
-    """What one text claims to share, given its repeated anchors in order: position,
-    first and last window start, and whether every record that has the anchor
-    comes to it, and leaves it, by the same edge.
+def _windows(span: int):
+    """Hashes of all windows whose starts lie in the ranges asked for."""
 
-    A window is proven where it lies on the unbranched path around its own anchor:
-    all records with that anchor have it, so all of them judge it alike. Returns
-    proven ranges of window starts, and single starts to be compared.
-    """
-    begins, ends = [], []
-    for i, (pos, _, _, same_back, _) in enumerate(anchors):
-        # On an unbranched path the neighbour is repeated too and stands next in the list.
-        begins.append(begins[i - 1] if same_back else pos)
-    for pos, _, _, _, same_next in reversed(anchors):
-        ends.append(ends[-1] if same_next else pos + k)
-    proven, single = [], []
-    for (_, lo, hi, _, _), begin, end in zip(anchors, begins, reversed(ends), strict=True):
-        s, e = max(lo, begin), min(hi, end - span)
-        if s <= e:
-            proven.append((s, e))
-            single += [np.arange(lo, s), np.arange(e + 1, hi + 1)]
-        else:
-            single.append(np.arange(lo, hi + 1))
-    return proven, np.concatenate(single)
-
-
-def _claims(span: int, k: int):
     def run(batches):
         for batch in batches:
             ids, marks, texts, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3)
             out, held = [], 0
             for i, tid in enumerate(ids):
                 points = code_points(texts[i].as_py())
-                anchors = sorted({(r["pos"], r["lo"], r["hi"], r["same_back"], r["same_next"]) for r in lists[i].as_py()})
-                proven, single = claims_of(anchors, span, k)
-                lo = np.array([s for s, _ in proven] + single.tolist(), np.int64)
-                hi = np.array([e for _, e in proven] + single.tolist(), np.int64)
-                w = []
-                for which in (0, 1):
-                    h = np.zeros(len(lo), np.int64)
-                    for a in range(0, len(points), SEGMENT):  # windows of one segment at a time
-                        inside = np.flatnonzero((single >= a) & (single < a + SEGMENT))
-                        if len(inside):
-                            part = Prefix(points[a : a + SEGMENT + span], which)
-                            at = single[inside] - a
-                            h[len(proven) + inside] = part.spans(at, at + span).view(np.int64)
-                    w.append(h)
-                none = np.arange(len(lo)) < len(proven)
-                out.append((np.full(len(lo), tid), np.full(len(lo), marks[i]), lo, hi, *w, none))
-                held += len(lo)
+                at = np.unique(np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in lists[i].as_py()]))
+                w = np.zeros((2, len(at)), np.int64)
+                for a in range(0, len(points), SEGMENT):  # windows of one segment at a time
+                    x, y = np.searchsorted(at, (a, a + SEGMENT))
+                    for which in (0, 1) if x < y else ():
+                        own = at[x:y] - at[x]
+                        w[which, x:y] = Prefix(points[at[x] : at[y - 1] + span], which).spans(own, own + span).view(np.int64)
+                out.append((np.full(len(at), tid), np.full(len(at), marks[i]), at, w[0], w[1]))
+                held += len(at)
                 if held > 200_000 or i == len(ids) - 1:
-                    t, m, lo, hi, w1, w2, none = (np.concatenate(x) for x in zip(*out, strict=True))
-                    cols = [pa.array(t), pa.array(m), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(w1, mask=none), pa.array(w2, mask=none)]
-                    yield pa.RecordBatch.from_arrays(cols, schema=_CLAIMS)
+                    t, m, at, w1, w2 = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (t, m, at.astype(np.int32), w1, w2)], schema=_CLAIMS)
                     out, held = [], 0
 
     return run
@@ -157,28 +119,25 @@ def shared_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     shorter than ``span``, share nothing. Runs that recur only within one record
     don't count. Other columns are not read.
     """
-    docs = documents.select(F.col(doc_id).cast("bigint").alias("tid"), F.xxhash64(text).alias("part"), F.col(text).cast("string").alias("text")).where(
+    docs = documents.select(F.col(doc_id).cast("bigint").alias("tid"), F.hash(text).alias("part"), F.col(text).cast("string").alias("text")).where(
         F.col("tid").isNotNull() & (F.length("text") >= span)
     )
-    sketch = written(docs.mapInArrow(_sketches(span, k, segment), "tid bigint, part bigint, pos int, lo int, hi int, node bigint, back bigint, edge bigint"), "sketch")
+    sketch = written(docs.mapInArrow(_sketches(span, k, segment), "tid bigint, part int, lo int, hi int, node bigint, edge bigint"), "sketch")
+    ends = [F.min("tid").alias("t0"), F.max("tid").alias("t1")]
     nodes = (
-        sketch.groupBy("node")
-        .agg(
-            F.min("tid").alias("t0"), F.max("tid").alias("t1"), F.min("back").alias("b0"), F.max("back").alias("b1"),
-            F.min("edge").alias("e0"), F.max("edge").alias("e1"),
-        )
-        .where("t0 < t1")
-        .select("node", F.expr("b0 = b1 and b0 <> 0").alias("same_back"), F.expr("e0 = e1 and e0 <> 0").alias("same_next"))
+        sketch.groupBy("node").agg(*ends, F.min("edge").alias("e0"), F.max("edge").alias("e1")).where("t0 < t1")
+        .select("node", F.expr("e0 <> e1").alias("branches"))
     )
-    met = sketch.drop("back", "edge").join(nodes, "node").drop("node")
-    anchors = F.collect_list(F.struct("pos", "lo", "hi", "same_back", "same_next"))  # no longer than the text
-    paths = met.groupBy("tid", "part").agg(anchors.alias("anchors"))
-    held = docs.join(paths, ["tid", "part"]).select("tid", "part", "text", "anchors")
-    claims = written(held.mapInArrow(_claims(span, k), "tid bigint, part bigint, lo int, hi int, w1 bigint, w2 bigint"), "claims")
-    single = claims.where("w1 is not null")
-    common = single.groupBy("w1", "w2").agg(F.min("tid").alias("t0"), F.max("tid").alias("t1")).where("t0 < t1").select("w1", "w2")
-    ranges = ["tid", "part", "lo", "hi"]
-    return claims.where("w1 is null").select(*ranges).unionByName(single.join(common, ["w1", "w2"], "left_semi").select(*ranges))
+    met = written(sketch.join(nodes, "node"), "met")
+    edges = met.groupBy("node", "edge").agg(*ends)
+    seen = met.join(edges, ["node", "edge"])
+    asked = seen.where("branches and (t0 = t1 or tid = t0 or tid = t1)")
+    ranges = F.collect_list(F.struct("lo", "hi")).alias("ranges")  # no longer than the text
+    held = docs.join(asked.groupBy("tid", "part").agg(ranges), ["tid", "part"]).select("tid", "part", "text", "ranges")
+    single = written(held.mapInArrow(_windows(span), "tid bigint, part int, lo int, w1 bigint, w2 bigint"), "windows")
+    common = single.groupBy("w1", "w2").agg(*ends).where("t0 < t1").select("w1", "w2")
+    shared = single.join(common, ["w1", "w2"], "left_semi").select("tid", "part", "lo", F.col("lo").alias("hi"))
+    return seen.where("t0 < t1").select("tid", "part", "lo", "hi").unionByName(shared)
 
 
 def shared_characters(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, k: int = ANCHOR) -> DataFrame:
