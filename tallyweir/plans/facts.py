@@ -121,8 +121,8 @@ def restatement_lineage(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""WITH {FACTS_SQL}, l AS (SELECT cik, tag, unit, start, "end", arg_max(val, (filed, fact_id)) AS latest_val FROM f GROUP BY ALL),
-v AS (SELECT cik, tag, unit, start, "end", val, min((filed, fact_id, accession)) AS at FROM f GROUP BY cik, tag, unit, start, "end", val)
-SELECT v.cik, v.tag, v.unit, v.start, v."end", latest_val, count(*) AS n_prior, arg_min(val, at) AS oldest_val, arg_max(val, at) AS newest_prior_val
+v AS (SELECT cik, tag, unit, start, "end", val, min((filed, fact_id, accession)) AS seen FROM f GROUP BY cik, tag, unit, start, "end", val)
+SELECT v.cik, v.tag, v.unit, v.start, v."end", latest_val, count(*) AS n_prior, arg_min(val, seen) AS oldest_val, arg_max(val, seen) AS newest_prior_val
 FROM v JOIN l ON v.cik = l.cik AND v.tag = l.tag AND v.unit = l.unit AND v.start IS NOT DISTINCT FROM l.start AND v."end" = l."end"
 WHERE val <> latest_val GROUP BY v.cik, v.tag, v.unit, v.start, v."end", latest_val""")
 def restatement_priors(spark: SparkSession, d: str) -> DataFrame:
