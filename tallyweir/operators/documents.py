@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Elements that hide their content, break a line, or part cells.
 HIDDEN = frozenset({"script", "style", "head", "title", "noscript", "ix:header"})
@@ -83,14 +84,24 @@ def plain_text(content: str | None) -> str:
     return "\n\n".join(b for b in (_line(x) for x in re.split(r"\n[ \t\r]*\n", content)) if b)
 
 
-@F.pandas_udf("string")
-def document_text(content: pd.Series) -> pd.Series:
-    return content.map(plain_text)
+def document_text(content: Column | str) -> Column:
+    """The plain text of a column of documents, in Arrow batches."""
 
+    @F.pandas_udf(StringType())
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(plain_text)
 
-@F.pandas_udf("string")
-def unescaped(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: html.unescape(t) if t is not None else None)
+    return run(content)
+
+
+def unescaped(text: Column | str) -> Column:
+    """Character references decoded; NULL stays NULL."""
+
+    @F.pandas_udf(StringType())
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: html.unescape(t) if isinstance(t, str) else None)
+
+    return run(text)
 
 
 class _Rows(HTMLParser):

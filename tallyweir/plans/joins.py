@@ -148,11 +148,11 @@ def holders_rollup(spark: SparkSession, d: str) -> DataFrame:
     return H.holders(_holdings(spark, d))
 
 
-@_query(f"""WITH {_H_SQL}, n AS (SELECT DISTINCT p_partkey AS cusip FROM part WHERE contains(lower(p_name), regexp_replace('steel inc.', ',?\\s+(inc|corp|co|ltd|llc|plc)\\.?$', '')))
+@_query(f"""WITH {_H_SQL}, n AS (SELECT DISTINCT p_partkey AS cusip FROM part WHERE contains(lower(p_name), regexp_replace('red widget, inc.', ',?\\s+(inc|corp|co|ltd|llc|plc)\\.?$', '')))
 SELECT filer, count(*) AS positions, sum(value::DECIMAL(38,2))::DOUBLE AS value FROM h SEMI JOIN n USING (cusip) GROUP BY filer""")
 def holders_by_name(spark: SparkSession, d: str) -> DataFrame:
     """Holders of the securities whose issuer name has the needle, without its suffix."""
-    needle = F.regexp_replace(F.lit("steel inc."), r",?\s+(inc|corp|co|ltd|llc|plc)\.?$", "")
+    needle = F.regexp_replace(F.lit("red widget, inc."), r",?\s+(inc|corp|co|ltd|llc|plc)\.?$", "")
     named = table(spark, d, "part").where(F.contains(F.lower("p_name"), needle)).select(F.col("p_partkey").alias("cusip"))
     return _holdings(spark, d).join(named, "cusip", "left_semi").groupBy("filer").agg(F.count(F.lit(1)).alias("positions"), F.sum(F.col("value").cast("decimal(38,2)")).cast("double").alias("value"))
 
