@@ -160,7 +160,7 @@ def sections_of(text: str | None) -> list[tuple[str, str, int, str, str]]:
     marks = list(_HEADING.finditer(text or ""))
     best: dict[str, tuple] = {}
     seen: dict[str, int] = {}
-    for m, after in zip(marks, [*marks[1:], None], strict=True):
+    for m, after in zip(marks, [*marks[1:], None], strict=False):
         body = text[m.end() : after.start() if after else len(text)].strip()
         item = m[1].upper()
         seen[item] = seen.get(item, 0) + 1
