@@ -39,4 +39,18 @@ QUERIES = {
     "p1_found": p1_found, "p1_quality": p1_quality, "p1_values": p1_values, "p6_ids": p6_ids, "p7_containers": p7_containers,
     "p8_found": p8_found,
 }
-SQL: dict[str, str] = {}
+_USABLE = {
+    "val_id": "val IS NOT NULL AND NOT isnan(val)",
+    "accession_id": "regexp_full_match(a, '[0-9]{18}') AND a <> '000000000000000000'",
+    "filed_id": "filed IS NOT NULL",
+    "end_id": "end_date IS NOT NULL AND (filed IS NULL OR end_date <= filed)",
+}
+_PICKS = ", ".join(f"coalesce(arg_max(fact_id, (t, coalesce(filed, DATE '0001-01-01'), fact_id)) FILTER (WHERE {ok}), -1) AS {name}" for name, ok in _USABLE.items())
+SQL: dict[str, str] = {
+    "p1_found": rf"""WITH o AS (SELECT origin, max(coalesce(trust, 0)) AS t FROM fact_origins WHERE origin IS NOT NULL GROUP BY origin),
+k AS (SELECT fact_id, regexp_replace(regexp_extract(cik, '([0-9]+)', 1), '^0+([0-9])', '\1') AS cik,
+  regexp_replace(lower(regexp_replace(tag, '^\s+|\s+$', '', 'g')), '^(us-gaap|ifrs-full|dei)[:_]', '') AS tag,
+  regexp_replace(lower(regexp_replace(unit, '^\s+|\s+$', '', 'g')), '^iso4217:', '') AS unit, lower(trim(context_id)) AS context, val, filed, end_date,
+  replace(regexp_replace(accession, '^\s+|\s+$', '', 'g'), '-', '') AS a, coalesce(t, 0) AS t FROM facts LEFT JOIN o USING (origin))
+SELECT min(fact_id) AS group_id, {_PICKS} FROM k WHERE cik <> '' AND tag IS NOT NULL AND unit IS NOT NULL AND context IS NOT NULL GROUP BY cik, tag, unit, context HAVING count(*) > 1""",
+}

@@ -30,6 +30,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CHUNK = 1 << 21
 #: Misses remembered by a Python worker.
 MEMORY = 200_000
+#: Pairs of tokens whose merge a worker remembers.
+PAIRS = 1_000_000
 #: Entries longer than this are kept beside the perfect hash.
 WIDE = 16
 
@@ -191,7 +193,7 @@ class Vocabulary:
         got = self.merges.get(key)
         if got is None:
             got = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
-            if len(self.merges) < 4_000_000:
+            if len(self.merges) < PAIRS:
                 self.merges[key] = got
         return got
 
