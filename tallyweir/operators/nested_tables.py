@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweir.session import fresh_path
+
 #: Members that make up each level, beside the repeated ones.
 FACT_MEMBERS = ("start", "end", "val", "accn", "fy", "fp", "form", "filed", "frame")
 PRIOR_MEMBERS = ("val", "filed", "accession")
@@ -225,10 +227,13 @@ def flat_tables(records: DataFrame) -> dict[str, DataFrame]:
     their notation as Python prints them; nested members of no level are left
     out; a missing and a null member are both NULL.
     """
-    out = {"filers": records.select(F.col("record_id").cast("bigint").alias("record_id"), "cik", "entityname")}
-    for level in LEVELS:
-        out[f"{level}s"] = pivot_level(triples(records, levels=(level,)), level)
-    return out
+    path = fresh_path(records.sparkSession, "triples")
+    triples(records).write.partitionBy("level").parquet(path)  # each record is parsed once
+    kept = records.sparkSession.read.schema(TRIPLES).parquet(path)
+    return {
+        "filers": records.select(F.col("record_id").cast("bigint").alias("record_id"), "cik", "entityname"),
+        **{f"{level}s": pivot_level(kept, level) for level in LEVELS},
+    }
 
 
 def fact_paths(records: DataFrame) -> DataFrame:

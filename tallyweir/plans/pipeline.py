@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyweir.operators.asof_attributes import facts_with_versions
 from tallyweir.operators.instant_dictionary import normalised_cells
-from tallyweir.operators.nested_tables import fact_paths
+from tallyweir.operators.nested_tables import FACT_MEMBERS, PRIOR_MEMBERS, fact_paths, flat_tables
 from tallyweir.sources.tables import table
 from tallyweir.streaming.exactly_once import run_dedupe
 
@@ -28,4 +28,40 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return fact_paths(table(spark, d, "companyfacts"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+def p5_concepts(spark: SparkSession, d: str) -> DataFrame:
+    return flat_tables(table(spark, d, "companyfacts"))["concepts"]
+
+
+def p5_facts(spark: SparkSession, d: str) -> DataFrame:
+    return flat_tables(table(spark, d, "companyfacts"))["facts"]
+
+
+def p5_priors(spark: SparkSession, d: str) -> DataFrame:
+    return flat_tables(table(spark, d, "companyfacts"))["priors"]
+
+
+QUERIES = {
+    "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found,
+    "p5_concepts": p5_concepts, "p5_facts": p5_facts, "p5_priors": p5_priors,
+}
+
+# Unrolled by SQL's own JSON functions; an object in place of an array is its only element.
+_ELEMENTS = "CASE json_type({x}) WHEN 'OBJECT' THEN json_array({x}) WHEN 'ARRAY' THEN {x} ELSE json_array() END"
+_CONCEPTS_SQL = """
+r AS (SELECT record_id, facts::JSON AS j FROM companyfacts WHERE json_valid(facts)),
+t AS (SELECT record_id, e.key AS taxonomy, e.value AS v FROM r, json_each(CASE WHEN json_type(j) = 'OBJECT' THEN j ELSE '{}' END) e),
+c AS (SELECT record_id, taxonomy, e.key AS tag, e.value AS v FROM t, json_each(CASE WHEN json_type(v) = 'OBJECT' THEN v ELSE '{}' END) e WHERE json_type(e.value) = 'OBJECT')
+"""
+_FACTS_SQL = f"""{_CONCEPTS_SQL},
+u AS (SELECT record_id, taxonomy, tag, e.key AS unit, {_ELEMENTS.format(x="e.value")} AS v FROM c, json_each(CASE WHEN json_type(v -> 'units') = 'OBJECT' THEN v -> 'units' ELSE '{{}}' END) e),
+f AS (SELECT record_id, taxonomy, tag, unit, e.key::BIGINT AS fact_pos, e.value AS v FROM u, json_each(v) e WHERE json_type(e.value) = 'OBJECT'),
+p AS (SELECT record_id, taxonomy, tag, unit, fact_pos, e.key::BIGINT AS prior_pos, e.value AS v FROM (SELECT *, v -> 'prior_values' AS x FROM f) g, json_each({_ELEMENTS.format(x="x")}) e WHERE json_type(e.value) = 'OBJECT')
+"""
+SQL = {
+    "p3_found": r"""WITH k AS (SELECT regexp_replace(accession, '[^0-9]', '', 'g') AS acc, regexp_replace(regexp_extract(cik, '([0-9]+)', 1), '^0+([0-9])', '\1') AS cik, delivery_id FROM feed),
+m AS (SELECT min(delivery_id) OVER (PARTITION BY acc, cik) AS first_id, delivery_id AS copy_id FROM k WHERE acc <> '' AND cik <> '') SELECT * FROM m WHERE first_id < copy_id""",
+    "p5_found": f"""WITH {_FACTS_SQL} SELECT record_id, taxonomy, tag, unit, fact_pos, -1::BIGINT AS prior_pos FROM f UNION ALL SELECT record_id, taxonomy, tag, unit, fact_pos, prior_pos FROM p""",
+    "p5_concepts": f"""WITH {_CONCEPTS_SQL} SELECT record_id, taxonomy, tag, v ->> 'label' AS label, v ->> 'description' AS description FROM c""",
+    "p5_facts": f"""WITH {_FACTS_SQL} SELECT record_id, taxonomy, tag, unit, fact_pos, {", ".join(f"""v ->> '{m}' AS "{m}\"""" for m in FACT_MEMBERS)} FROM f""",
+    "p5_priors": f"""WITH {_FACTS_SQL} SELECT record_id, taxonomy, tag, unit, fact_pos, prior_pos, {", ".join(f"""v ->> '{m}' AS "{m}\"""" for m in PRIOR_MEMBERS)} FROM p""",
+}
