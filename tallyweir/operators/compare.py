@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyweir.operators.asof_attributes import carry_forward
+
 
 def diff_filers(series: DataFrame, a: str, b: str) -> DataFrame:
     """Two filers side by side by ``period``: values, difference and ratio (NULL
@@ -53,30 +55,34 @@ def nearest_instant(targets: DataFrame, instants: DataFrame, most_days: int) ->
 def amendment_pairs(filings: DataFrame) -> DataFrame:
     """Each amendment ``X/A`` with the last ``X`` of the filer filed before it.
 
-    Originals and amendments are united and the last original is carried forward,
-    so a filer's filings are sorted once and never paired.
+    Originals are changes that are available from the day after they were filed,
+    amendments are events: the last known one is carried forward in one sorted pass,
+    split by time and salt like any other as-of join.
     """
-    base = F.regexp_replace("form", r"/A$", "")
-    rows = filings.select("cik", base.alias("base"), "form", "accession", "filed", "filing_id", F.col("form").endswith("/A").alias("amends"))
-    stamped = rows.withColumn("day", F.unix_date("filed"))
-    day = W.partitionBy("cik", "base").orderBy("day").rangeBetween(W.unboundedPreceding, -1)
-    original = F.when(~F.col("amends"), F.struct("filed", "filing_id", "accession"))
-    out = stamped.withColumn("original", F.max(original).over(day)).where("amends")
-    return out.select("cik", "form", "accession", "filed", F.col("original.accession").alias("original_accession"), F.col("original.filed").alias("original_filed"))
+    base = F.concat_ws("\u0001", F.col("cik"), F.regexp_replace("form", r"/A$", ""))
+    amends = F.col("form").endswith("/A")
+    day = lambda n: F.expr(f"timestamp_seconds((unix_date(filed) + {n}) * 86400L)")
+    events = filings.where(amends).select(base.alias("entity"), F.col("filing_id").alias("event_id"), day(0).alias("at"))
+    changes = filings.where(~amends).select(base.alias("entity"), F.col("filing_id").alias("version_id"), day(1).alias("valid_from"), day(1).alias("known_at"))
+    paired = carry_forward(events, changes, bucket_days=365).select(F.col("event_id").alias("filing_id"), "version_id")
+    originals = filings.select(F.col("filing_id").alias("version_id"), F.col("accession").alias("original_accession"), F.col("filed").alias("original_filed"))
+    out = filings.where(amends).join(paired, "filing_id").join(originals, "version_id", "left")
+    return out.select("cik", "form", "accession", "filed", "original_accession", "original_filed")
 
 
 def peers(filers: DataFrame, limit: int) -> DataFrame:
     """Filers with the same industry code, by name, at most ``limit`` each.
 
-    Each industry is sorted once; a filer takes the first names beside itself from
-    its industry's head, so no industry is paired with itself.
+    Only the head of each industry is ranked (tasks cut their rows to it before the
+    shuffle); every filer takes the first names beside itself from that head, so no
+    industry is paired with itself.
     """
     order = W.partitionBy("sic").orderBy("filer_name", "cik")
-    ranked = filers.where("sic is not null").withColumn("pos", F.row_number().over(order))
-    head = ranked.where(F.col("pos") <= limit + 1).select("sic", F.col("cik").alias("peer_cik"), F.col("filer_name").alias("peer_name"), F.col("pos").alias("peer_pos"))
-    pairs = ranked.join(head, "sic").where("cik <> peer_cik")
-    place = F.col("peer_pos") - (F.col("peer_pos") > F.col("pos")).cast("int")
-    return pairs.select("cik", "peer_cik", "peer_name", place.alias("place")).where(F.col("place") <= limit)
+    head = filers.where("sic is not null").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit + 1)
+    named = head.select("sic", F.col("cik").alias("peer_cik"), F.col("filer_name").alias("peer_name"), F.col("pos").alias("peer_pos"))
+    own = filers.where("sic is not null").select("cik", "sic").join(head.select("cik", F.col("pos").alias("own_pos")), "cik", "left")
+    place = F.col("peer_pos") - F.coalesce((F.col("peer_pos") > F.col("own_pos")).cast("int"), F.lit(0))
+    return own.join(named, "sic").where("cik <> peer_cik").select("cik", "peer_cik", "peer_name", place.alias("place")).where(F.col("place") <= limit)
 
 
 def listings(rows: DataFrame, tickers: DataFrame) -> DataFrame:

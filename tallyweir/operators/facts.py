@@ -83,33 +83,38 @@ def canonical_union(facts: DataFrame, aliases: DataFrame) -> DataFrame:
     return _first(with_alias(facts, aliases), ("cik", "alias", "start", "end", "accession", "unit"), F.col("precedence"), F.desc("fact_id"))
 
 
+def _period_key(df: DataFrame) -> DataFrame:
+    """With ``_start``, which is never null, so that periods can be joined by equality."""
+    return df.withColumn("_start", F.coalesce("start", F.lit("0001-01-01").cast("date")))
+
+
+_KEY = ("cik", "tag", "unit", "_start", "end")
+
+
 def lineage(facts: DataFrame) -> DataFrame:
-    """Each fact with what became of its value: the latest known value of the
-    period, the accession that superseded it, and how many distinct other values
-    were filed for the period."""
-    order = W.partitionBy(*PERIOD).orderBy("filed", "fact_id")
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    latest = F.last("val").over(whole)
-    out = facts.withColumns({"latest_known_value": latest, "_last": F.last(F.struct("accession")).over(whole)})
-    return out.withColumns(
-        {
-            "is_restated": F.col("val") != F.col("latest_known_value"),
-            "superseded_by": F.when(F.col("val") != F.col("latest_known_value"), F.col("_last.accession")),
-        }
-    ).drop("_last")
+    """Each fact with what became of its value: the latest known value of the period,
+    and the accession that superseded it.
+
+    The latest is aggregated and joined back, so a period that holds very many facts
+    is split like any skewed join key.
+    """
+    rows = _period_key(facts)
+    last = rows.groupBy(*_KEY).agg(F.max_by(F.struct("val", "accession"), F.struct("filed", "fact_id")).alias("_last"))
+    changed = F.col("val") != F.col("_last.val")
+    return rows.join(last, list(_KEY)).withColumns(
+        {"latest_known_value": F.col("_last.val"), "is_restated": changed, "superseded_by": F.when(changed, F.col("_last.accession"))}
+    ).drop("_last", "_start")
 
 
 def prior_values(facts: DataFrame) -> DataFrame:
-    """Per period the distinct values before the latest, in order of filing."""
-    latest = F.max_by("val", F.struct("filed", "fact_id"))
-    per_value = facts.groupBy(*PERIOD, "val").agg(F.min(F.struct("filed", "fact_id", "accession")).alias("at"))
-    last = facts.groupBy(*PERIOD).agg(latest.alias("latest_val"))
-    null_safe = [F.col(f"v.{k}").eqNullSafe(F.col(f"l.{k}")) for k in PERIOD]
-    joined = per_value.alias("v").join(last.alias("l"), null_safe).where("v.val <> latest_val")
-    listed = F.array_sort(F.collect_list(F.struct("at", "val")))
-    return joined.groupBy(*[F.col(f"v.{k}").alias(k) for k in PERIOD], "latest_val").agg(listed.alias("_prior")).select(
-        *PERIOD, "latest_val", F.transform("_prior", lambda p: F.struct(p["val"].alias("val"), p["at"]["filed"].alias("filed"), p["at"]["accession"].alias("accession"))).alias("prior_values")
-    )
+    """The distinct values of a period before its latest, one row each, with the
+    filing that first had it."""
+    rows = _period_key(facts)
+    first = F.min_by(F.struct("filed", "fact_id", "accession"), F.struct("filed", "fact_id")).alias("first")
+    per_value = rows.groupBy(*_KEY, "val").agg(first)
+    last = rows.groupBy(*_KEY).agg(F.max_by("val", F.struct("filed", "fact_id")).alias("latest_val"))
+    start = F.when(F.col("_start") != F.lit("0001-01-01").cast("date"), F.col("_start")).alias("start")
+    return per_value.join(last, list(_KEY)).where("val <> latest_val").select("cik", "tag", "unit", start, "end", "latest_val", "val", "first.filed", "first.fact_id", "first.accession")
 
 
 def audit_trail(facts: DataFrame) -> DataFrame:
@@ -162,8 +167,16 @@ def staleness(winners: DataFrame, reports: DataFrame, reference: Column) -> Data
 def comparable(facts: DataFrame, periods: int) -> DataFrame:
     """Per concept: framed facts if there are any, newest first, one per
     (start, end, frame), at most ``periods``."""
-    framed = F.max(F.col("frame").isNotNull()).over(W.partitionBy(*CONCEPT))
-    kept = facts.withColumn("_framed", framed).where("not _framed or frame is not null").drop("_framed")
+    framed = facts.groupBy(*CONCEPT).agg(F.max(F.col("frame").isNotNull()).alias("_framed"))
+    kept = facts.join(framed, list(CONCEPT)).where("not _framed or frame is not null").drop("_framed")
     single = _first(kept, (*PERIOD, "frame"), F.desc("filed"), F.desc("fact_id"))
     order = W.partitionBy(*CONCEPT).orderBy(F.desc("end"), F.desc("filed"), F.desc("fact_id"))
     return single.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= periods)
+
+
+def newest(facts: DataFrame, limit: int) -> DataFrame:
+    """The newest facts of each filer, at most ``limit``, with ``truncated`` where the
+    filer has more. Spark cuts each task's rows to the limit before the shuffle."""
+    order = W.partitionBy("cik").orderBy(F.desc("filed"), F.desc("fact_id"))
+    total = facts.groupBy("cik").agg((F.count(F.lit(1)) > limit).alias("truncated"))
+    return facts.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).join(total, "cik")

@@ -33,10 +33,11 @@ def in_dollars(holdings: DataFrame) -> DataFrame:
 def concentration(holdings: DataFrame, top: int) -> DataFrame:
     """Per filer: total value, positions, value of the ``top`` largest, and their share."""
     per = holdings.groupBy("filer", "cusip").agg(F.sum(F.col("value").cast("decimal(38,2)")).alias("value"))
-    ranked = per.withColumn("pos", F.row_number().over(W.partitionBy("filer").orderBy(F.desc("value"), "cusip")))
-    return ranked.groupBy("filer").agg(
-        F.sum("value").cast("double").alias("total"), F.count(F.lit(1)).alias("positions"), F.sum(F.when(F.col("pos") <= top, F.col("value"))).cast("double").alias("top_value")
-    ).withColumn("concentration", F.try_divide("top_value", "total"))
+    totals = per.groupBy("filer").agg(F.sum("value").cast("double").alias("total"), F.count(F.lit(1)).alias("positions"))
+    order = W.partitionBy("filer").orderBy(F.desc("value"), "cusip")
+    # Each task's rows are cut to the limit before the shuffle.
+    largest = per.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= top).groupBy("filer").agg(F.sum("value").cast("double").alias("top_value"))
+    return totals.join(largest, "filer").withColumn("concentration", F.try_divide("top_value", "total"))
 
 
 def holders(holdings: DataFrame) -> DataFrame:

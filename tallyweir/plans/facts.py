@@ -126,11 +126,10 @@ SELECT v.cik, v.tag, v.unit, v.start, v."end", latest_val, count(*) AS n_prior,
 FROM v JOIN l ON v.cik = l.cik AND v.tag = l.tag AND v.unit = l.unit AND v.start IS NOT DISTINCT FROM l.start AND v."end" = l."end"
 WHERE val <> latest_val GROUP BY v.cik, v.tag, v.unit, v.start, v."end", latest_val""")
 def restatement_priors(spark: SparkSession, d: str) -> DataFrame:
-    p = O.prior_values(_facts(spark, d))
-    return p.select(
-        *O.PERIOD, "latest_val", F.size("prior_values").cast("bigint").alias("n_prior"),
-        F.get("prior_values", F.lit(0))["val"].alias("oldest_val"), F.element_at("prior_values", -1)["val"].alias("newest_prior_val"),
-    )
+    at = F.struct("filed", "fact_id")
+    return O.prior_values(_facts(spark, d)).groupBy(*O.PERIOD, "latest_val").agg(
+        F.count(F.lit(1)).alias("n_prior"), F.min_by("val", at).alias("oldest_val"), F.max_by("val", at).alias("newest_prior_val")
+    )
 
 
 @_query(f"""WITH {FACTS_SQL} SELECT cik, tag, unit, start, "end", count(DISTINCT val) AS n_values, count(*) AS n_filings, min(filed) AS first_filed,
@@ -219,6 +218,4 @@ def frame_scan(spark: SparkSession, d: str) -> DataFrame:
 SELECT cik, fact_id, pos::BIGINT AS pos, total > 5 AS truncated FROM t WHERE pos <= 5""")
 def truncation_probe(spark: SparkSession, d: str) -> DataFrame:
     """The five newest facts of each filer, and whether there are more."""
-    w = W.partitionBy("cik")
-    t = _facts(spark, d).withColumns({"pos": F.row_number().over(w.orderBy(F.desc("filed"), F.desc("fact_id"))), "total": F.count(F.lit(1)).over(w)})
-    return t.where("pos <= 5").select("cik", "fact_id", F.col("pos").cast("bigint").alias("pos"), (F.col("total") > 5).alias("truncated"))
+    return O.newest(_facts(spark, d), 5).select("cik", "fact_id", F.col("pos").cast("bigint").alias("pos"), "truncated")
