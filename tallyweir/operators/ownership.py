@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -154,3 +155,43 @@ def parsed(documents: DataFrame, rows_of, schema: str, doc_id: str = "doc_id", t
             yield pd.DataFrame(rows, columns=names)
 
     return documents.select(doc_id, text).mapInPandas(run, schema)
+
+
+OWNERS = "doc_id bigint, owner_name string, owner_cik string, shares double, percent double, security string, reported string, method string"
+# Element names of the two cover dialects (person, amount, percent, day).
+_COVERS = {
+    "reportingPersonInfo": ("aggregateAmountOwned", "percentOfClass", "dateOfEvent"),
+    "coverPageHeaderReportingPersonDetails": ("reportingPersonBeneficiallyOwnedAggregateNumberOfShares", "classPercent", "eventDateRequiresFilingThisStatement"),
+}
+
+
+def _anywhere(node, name: str) -> str | None:
+    return next(((e.text or "").strip() or None for e in node.iter() if _local(e.tag) == name), None)
+
+
+def _amount(text: str | None) -> float | None:
+    m = re.fullmatch(r"\s*([\d,]+(?:\.\d+)?)\s*%?\s*(?:\([^)]+\))?\s*", text or "")
+    return float(m[1].replace(",", "")) if m else None
+
+
+def owner_rows(content: str | None) -> Iterator[tuple]:
+    """Owners on a beneficial-ownership cover: from its elements, else from labelled
+    lines of its text. A label whose value is lost gives no owner."""
+    root = _tree(content)
+    found = False
+    for person in root.iter() if root is not None else ():
+        fields = _COVERS.get(_local(person.tag))
+        name = _anywhere(person, "reportingPersonName") if fields else None
+        if name:
+            found = True
+            amount, percent, day = fields
+            yield name, _anywhere(person, "reportingPersonCIK"), _amount(_anywhere(person, amount)), _amount(_anywhere(person, percent)), _anywhere(root, "securitiesClassTitle"), _anywhere(root, day), "elements"
+    if found or not content:
+        return
+    for block in re.split(r"(?i)names? of reporting persons?[ \t]*(?:\([^)]*\))?", content)[1:]:
+        lines = [x.strip(" \t:-") for x in block.splitlines() if x.strip(" \t:-")]
+        value = lambda label, lines=lines: next((lines[i + 1] if not (t := re.split(label, x, maxsplit=1, flags=re.I)[1].strip(" :-")) and i + 1 < len(lines) else t for i, x in enumerate(lines) if re.search(label, x, re.I)), None)
+        shares = _amount(value(r"aggregate amount beneficially owned(?: by each reporting person)?"))
+        share = value(r"percent(?:age)? of class(?: represented by amount in row\s*\(?\d+\)?)?")
+        if lines and shares is not None and not re.fullmatch(r"\d+\.?", lines[0]):
+            yield lines[0], None, shares, _amount(share) if share and "%" in share else None, None, None, "labels"

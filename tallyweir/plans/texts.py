@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tallyweir.functions.texts import collapsed, figures, item_numbers, money, sentences, snippet
 from tallyweir.operators import documents as D
 from tallyweir.operators import events as E
+from tallyweir.operators import evidence as V
 from tallyweir.operators.incremental import bodies
+from tallyweir.plans.facts import FILINGS_SQL, filings
 from tallyweir.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -132,3 +134,33 @@ def item_sections(spark: SparkSession, d: str) -> DataFrame:
 def plain_texts(spark: SparkSession, d: str) -> DataFrame:
     """Markup to text of every document, as its length in characters."""
     return _docs(spark, d).select("doc_id", F.length(D.document_text("text")).alias("n_chars"))
+
+
+@_query()
+def share_statements(spark: SparkSession, d: str) -> DataFrame:
+    return V.statements(_docs(spark, d)).select("doc_id", "topic", "pos", "sentence", "as_of", "ratio", F.size("figures").alias("n_figures"))
+
+
+@_query()
+def earnings_highlights(spark: SparkSession, d: str) -> DataFrame:
+    return V.earnings_highlights(_docs(spark, d))
+
+
+@_query()
+def governance_fields(spark: SparkSession, d: str) -> DataFrame:
+    return V.governance(_docs(spark, d)).select("doc_id", "board_size", F.size("audit_fees").alias("n_fees"), F.array_join("officers", ",").alias("officers"))
+
+
+@_query(r"""SELECT doc_id, CASE WHEN regexp_extract(text, '(?i)\b(?:1|one)-for-([0-9]{1,5})\b', 1) <> '' THEN '1-for-' || regexp_extract(text, '(?i)\b(?:1|one)-for-([0-9]{1,5})\b', 1)
+WHEN regexp_extract(text, '(?i)\b([0-9]{1,5})-for-(?:1|one)\b', 1) <> '' THEN regexp_extract(text, '(?i)\b([0-9]{1,5})-for-(?:1|one)\b', 1) || '-for-1' END AS ratio FROM documents WHERE ratio IS NOT NULL""")
+def split_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """The first reverse-split ratio that each text names."""
+    return _docs(spark, d).select("doc_id", V.split_ratio(F.col("text")).alias("ratio")).where("ratio is not null")
+
+
+@_query(f"""WITH {FILINGS_SQL}, n AS (SELECT filing_id, file_number FROM filings WHERE file_number IS NOT NULL AND file_number <> '')
+SELECT file_number, min(cik) AS cik, count(*) AS n, sum(CASE WHEN form LIKE '%/A' THEN 1 ELSE 0 END)::BIGINT AS amendments, min(filed) AS first_filed, max(filed) AS last_filed,
+array_to_string(list_sort(list(DISTINCT form)), ',') AS forms, max(form = 'EFFECT') AS effective FROM g JOIN n USING (filing_id) GROUP BY file_number""")
+def registration_history(spark: SparkSession, d: str) -> DataFrame:
+    numbers = table(spark, d, "filings").select("filing_id", "file_number")
+    return V.registrations(filings(spark, d).join(numbers, "filing_id"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweir.functions import texts as T
 from tallyweir.functions.metrics import BY_NAME, envelope, value
-from tallyweir.operators import discovery, documents, events, facts, incremental, ownership, series
+from tallyweir.operators import discovery, documents, events, evidence, facts, incremental, ownership, series
 
 from .conftest import rows
 
@@ -195,3 +195,36 @@ def test_guards_change_nothing(spark):
 def test_rules_compile():
     assert all(re.compile(must) and (not but or re.compile(but)) for _, must, but in events.RULES)
     assert set(events.GUARDS) == {kind for kind, _, _ in events.RULES}
+
+
+def test_statements(spark):
+    text = "As of June 23, 2023 there were 60,788,115 ordinary shares outstanding, held by 167 holders. Holders approved a 1-for-148 reverse split of the shares. A 5-for-1 split may be required to be done if necessary."
+    got = {(r.topic, str(r.as_of), r.ratio, tuple(f.value for f in r.figures)) for r in evidence.statements(spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")).collect()}
+    assert got == {("shares_outstanding", "2023-06-23", None, (60788115.0,)), ("reverse_split", "None", "1-for-148", ())}
+
+
+def test_statements_are_capped_in_order(spark):
+    text = " ".join(f"Warrants for {i},000 shares are exercisable now." for i in range(1, 13))
+    got = rows(evidence.statements(spark.createDataFrame([(1, text)], "doc_id int, text string")), "pos")
+    assert got == [(i,) for i in range(8)]
+
+
+def test_highlights(spark):
+    text = "Revenue grew 5% to $3 million. Q1 Q2 revenue 1 2 3 4 5 6 7 8. No numbers in revenue here. Revenue grew 5% to $3 million. Weather was 20 degrees."
+    assert rows(evidence.earnings_highlights(spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string"))) == [(1, 0, "Revenue grew 5% to $3 million.")]
+
+
+def test_governance(spark):
+    text = "Our Board of Directors consists of nine (9) directors. Audit Fees: $1,250,000\nTax fees $5,000\nProposal 1 Election of Directors\nthe Proposal 2 was withdrawn\nProposal 2: Ratify the Plan. The Chief Executive\nOfficer agrees."
+    df = spark.createDataFrame([(1, text), (2, "none"), (3, None)], "doc_id int, text string")
+    got = evidence.governance(df).collect()
+    assert [(r.doc_id, r.board_size, [tuple(f) for f in r.audit_fees], r.officers) for r in got] == [(1, 9, [("audit fees", 1250000)], ["chief executive officer"])]
+    assert rows(evidence.proposals(df)) == [(1, 1, "Election of Directors"), (1, 2, "Ratify the Plan")]
+
+
+def test_owners(spark):
+    cover = "<f xmlns='u'><securitiesClassTitle>Common</securitiesClassTitle><dateOfEvent>01/02/2020</dateOfEvent><reportingPersonInfo><reportingPersonName>A</reportingPersonName><reportingPersonCIK>9</reportingPersonCIK><aggregateAmountOwned>1,234.00</aggregateAmountOwned><percentOfClass>5.5</percentOfClass></reportingPersonInfo></f>"
+    legacy = "NAMES OF REPORTING PERSONS (entities)\nBeta LP\n9 AGGREGATE AMOUNT BENEFICIALLY OWNED BY EACH REPORTING PERSON\n\n2,000\n11 PERCENT OF CLASS REPRESENTED BY AMOUNT IN ROW (9): 6.1%\nNAME OF REPORTING PERSON\nLost\nAGGREGATE AMOUNT BENEFICIALLY OWNED\nCheck the box\n"
+    df = spark.createDataFrame([(1, cover), (2, legacy), (3, None), (4, "<x/>")], "doc_id bigint, text string")
+    got = ownership.parsed(df, ownership.owner_rows, ownership.OWNERS)
+    assert rows(got) == [(1, "A", "9", 1234.0, 5.5, "Common", "01/02/2020", "elements"), (2, "Beta LP", None, 2000.0, 6.1, None, None, "labels")]
