@@ -3,11 +3,12 @@
 A configuration linear program over the length histogram says how many
 containers to fill in which way. It is solved by multiplicative weights: lengths
 that are covered least weigh most, and a knapsack dynamic program prices the
-best configuration at those weights. Whole multiples of the configurations are
-kept; what they leave is placed by best fit, still on the histogram, where equal
-containers are one entry. All of that works on at most ``capacity`` lengths, so
-its cost does not depend on the corpus. Texts then find their container by the
-rank they have among the texts of their length.
+best configuration at those weights. Rounding keeps the whole multiples of all
+configurations that are full but for ``capacity / 1024`` tokens; the rest is
+placed by best fit, still on the histogram, where equal containers are one
+entry. All of that works on at most ``capacity`` lengths, so its cost does not
+depend on the corpus. Texts then find their container by the rank they have
+among the texts of their length.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from tallyweir.llm.tokenizer import VOCABULARY, token_counts
 from tallyweir.session import written
 
 CAPACITY = 2048
-ROUNDS = 96
+#: Share of a length's demand covered in one round, rate of the weights, and lengths priced at a time.
+STEP, ETA, POOL = 0.25, 4.0, 48
 #: Parts in which the texts of one length are ranked; a length may hold a third of all texts.
 PARTS = 128
 
@@ -52,30 +54,37 @@ def price(lengths: np.ndarray, limits: np.ndarray, worth: np.ndarray, capacity:
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Configurations {length: how many} with fractional multiples."""
-    if not histogram:
-        return []
-    lengths = np.array(sorted(histogram, reverse=True))
+def solve(histogram: dict[int, int], capacity: int, step: float = STEP, pool: int = POOL) -> list[tuple[dict[int, int], float]]:
+    """Configurations {length: how many} with fractional multiples that cover the
+    histogram: multiplicative weights for the covering program.
+
+    A length's weight falls exponentially with the share of its demand that is
+    covered, and covered lengths drop out. Each round prices a configuration over
+    the ``pool`` heaviest lengths by weight per token and takes so much of it that
+    its scarcest length gains ``step`` of its demand (or what it lacks).
+    """
+    lengths = np.array(sorted(histogram, reverse=True), np.int64)
     demand = np.array([histogram[x] for x in lengths.tolist()], float)
-    covered = np.zeros(len(lengths))
+    lacking = demand.copy()
+    shuffle = np.random.default_rng(1).permutation(len(lengths))
     multiples: dict[tuple, float] = {}
-    for _ in range(rounds):
-        weights = np.exp(-6.0 * np.minimum(covered, 50)) * lengths
-        chosen = price(lengths, demand, weights, capacity)
-        if not chosen:
-            break
-        at, m = np.array(list(chosen)), np.array(list(chosen.values()), float)
-        step = 0.5 * float((demand[at] / m).min())
-        covered[at] += step * m / demand[at]
-        key = tuple(sorted(chosen.items()))
-        multiples[key] = multiples.get(key, 0.0) + step
-        if covered.min() >= 1:
+    while True:
+        open_ = shuffle[lacking[shuffle] > 1e-9 * demand[shuffle]]
+        if not len(open_):
             break
-    return [({int(lengths[i]): m for i, m in key}, x) for key, x in multiples.items()]
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, int, int, int, int]]:
+        weight = np.exp(ETA * (lacking[open_] / demand[open_] - 1))
+        picked = open_[np.argsort(-weight, kind="stable")[:pool]]
+        limits = np.ceil(lacking[picked])
+        chosen = price(lengths[picked], limits, np.exp(ETA * (lacking[picked] / demand[picked] - 1)) * lengths[picked], capacity)
+        at, m = picked[list(chosen)], np.array(list(chosen.values()), float)
+        x = float((np.minimum(np.maximum(step * demand[at], 1), lacking[at]) / m).min())
+        lacking[at] = np.maximum(lacking[at] - x * m, 0)
+        key = tuple(sorted(zip(lengths[at].tolist(), m.astype(int).tolist(), strict=True)))
+        multiples[key] = multiples.get(key, 0.0) + x
+    return [(dict(key), x) for key, x in multiples.items()]
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, step: float = STEP) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, last rank, first container, how many in each): where
     the texts of each length go, by their rank from 0. Containers count from 0."""
     rest = {x: n for x, n in histogram.items() if 0 < x <= capacity and n > 0}
@@ -96,7 +105,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
                 insort(spaces, space)
             open_.setdefault(space, []).append((first, containers))
 
-    for config, x in sorted(solve(rest, capacity, rounds), key=lambda c: -c[1]):
+    for config, x in sorted(solve(rest, capacity, step), key=lambda c: -c[1]):
+        if capacity - sum(k * m for k, m in config.items()) > capacity // 1024:
+            continue
         n = min(int(x), *[rest[length] // m for length, m in config.items()])
         if n > 0:
             for length, m in config.items():
