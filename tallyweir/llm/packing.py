@@ -158,7 +158,7 @@ def containers(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ahead = sizes.select("n_tokens", "part", (F.sum("n").over(W.partitionBy("n_tokens").orderBy("part")) - F.col("n")).alias("ahead"))
     ranked = (
         parted.withColumn("rank", F.row_number().over(W.partitionBy("n_tokens", "part").orderBy("doc_id", "piece")) - 1)
-        .join(F.broadcast(ahead), ["n_tokens", "part"])  # bounded as above
+        .join(ahead, ["n_tokens", "part"])  # the rank has this partitioning already
         .withColumn("rank", F.col("rank") + F.col("ahead"))
     )
     table = spark.createDataFrame(where, "n_tokens bigint, low bigint, high bigint, first bigint, each bigint")  # bounded by capacity and rounds
