@@ -4,98 +4,25 @@ from __future__ import annotations
 
 import html
 import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Elements that hide their content, break a line, or part cells.
-HIDDEN = frozenset({"script", "style", "head", "title", "noscript", "ix:header"})
-BLOCKS = frozenset("p div tr table li ul ol br hr h1 h2 h3 h4 h5 h6 section article header footer pre blockquote dl dt dd body html form document".split())
-CELLS = frozenset({"td", "th"})
-_SPACE = re.compile(r"\s+")
-_PLAIN = {0xA0: " ", 0x2002: " ", 0x2003: " ", 0x2009: " ", 0x202F: " ", 0x200B: None, 0x200C: None, 0x200D: None, 0xFEFF: None, 0xAD: None,
-          0x2018: "'", 0x2019: "'", 0x201C: '"', 0x201D: '"', 0x2013: "-", 0x2014: "-", 0x2212: "-"}
-_MARKUP = re.compile(r"<(?:html|body|div|p|table|span|font|\?xml|xbrl|ix:)", re.I)
-_WRAPPER = re.compile(r"\A\s*<DOCUMENT>.*?<TEXT>", re.I | re.S)
-_TRAILER = re.compile(r"</TEXT>\s*</DOCUMENT>\s*\Z", re.I)
-
-
-def _line(text: str) -> str:
-    return _SPACE.sub(" ", text.translate(_PLAIN)).strip()
-
-
-class _Lines(HTMLParser):
-    """Collects one line per block element or table row."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.done: list[str] = []
-        self.now: list[str] = []
-        self.depth: list[str] = []
-
-    def end_line(self) -> None:
-        if line := _line("".join(self.now)):
-            self.done.append(line)
-        self.now = []
-
-    def _mark(self, tag: str) -> None:
-        if tag in BLOCKS:
-            self.end_line()
-        elif tag in CELLS:
-            self.now.append(" ")
-
-    def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN:
-            self.depth.append(tag)
-        if not self.depth:
-            self._mark(tag)
-
-    def handle_startendtag(self, tag, attrs):
-        if not self.depth:
-            self._mark(tag)
-
-    def handle_endtag(self, tag):
-        if self.depth:
-            if tag == self.depth[-1]:
-                self.depth.pop()
-        else:
-            self._mark(tag)
-
-    def handle_data(self, data):
-        if not self.depth:
-            self.now.append(data)
-
-
-def plain_text(content: str | None) -> str:
-    """Blocks of a document, blank lines between them; markup is parsed, other
-    text keeps its own blocks. Null is the empty text."""
-    if not content:
-        return ""
-    content = _TRAILER.sub("", _WRAPPER.sub("", content, count=1))
-    if _MARKUP.search(content[:4000]):
-        parser = _Lines()
-        parser.feed(content)
-        parser.close()
-        parser.end_line()
-        return "\n\n".join(parser.done)
-    return "\n\n".join(b for b in (_line(x) for x in re.split(r"\n[ \t\r]*\n", content)) if b)
-
-
-def document_text(content: Column | str) -> Column:
-    """The plain text of a column of documents, in Arrow batches."""
+from tallyweir.functions.texts import normalised
 
-    @F.pandas_udf(StringType())
-    def run(batch: pd.Series) -> pd.Series:
-        return batch.map(plain_text)
+# Elements that hide their content, break a line, or part cells.
+HIDDEN = ("script", "style", "head", "title", "noscript", "ix:header")
+BLOCKS = "p div tr table li ul ol br hr h1 h2 h3 h4 h5 h6 section article header footer pre blockquote dl dt dd body html form document".split()
+CELLS = ("td", "th")
+MARKUP = r"(?i)<(?:html|body|div|p|table|span|font|\?xml|xbrl|ix:)"
 
-    return run(content)
+_BREAK = "\u0001"
 
 
 def unescaped(text: Column | str) -> Column:
-    """Character references decoded; NULL stays NULL."""
+    """Character references decoded, in Arrow batches; NULL stays NULL."""
 
     @F.pandas_udf(StringType())
     def run(batch: pd.Series) -> pd.Series:
@@ -104,50 +31,48 @@ def unescaped(text: Column | str) -> Column:
     return run(text)
 
 
-class _Rows(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.rows, self.cells, self.text, self.link = [], None, None, None
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self.cells, self.link = [], None
-        elif tag in CELLS and self.cells is not None:
-            self.text = []
-        elif tag == "a" and self.text is not None:
-            self.link = dict(attrs).get("href") or self.link
+def _one_of(names) -> str:
+    return "|".join(re.escape(n) for n in names)
 
-    def handle_data(self, data):
-        if self.text is not None:
-            self.text.append(data)
 
-    def handle_endtag(self, tag):
-        if tag in CELLS and self.text is not None:
-            self.cells.append(_line("".join(self.text)))
-            self.text = None
-        elif tag == "tr" and self.cells is not None:
-            if len(self.cells) >= 4 and self.cells[0] != "Seq":
-                self.rows.append((*self.cells[:4], self.link))
-            self.cells = None
+def without_wrapper(content: Column) -> Column:
+    """Without the submission's header and trailer around a document."""
+    inner = F.regexp_replace(content, r"(?is)\A\s*<document>.*?<text>", "")
+    return F.regexp_replace(inner, r"(?i)</text>\s*</document>\s*\z", "")
 
 
-INDEX = "doc_id bigint, sequence string, description string, document string, doc_type string, url string"
+def document_text(content: Column | str) -> Column:
+    """Blocks of a document with blank lines between them; NULL is the empty text.
+
+    In markup hidden elements and comments go, block elements and table rows end a
+    line, cells are parted by blanks and other tags vanish. Other text keeps its own
+    blocks. Tags are handled by the JVM's regular expressions; only character
+    references need Python.
+    """
+    col = F.col(content) if isinstance(content, str) else content
+    body = without_wrapper(F.coalesce(col, F.lit("")))
+    shown = F.regexp_replace(body, r"(?s)<!--.*?-->", " ")
+    shown = F.regexp_replace(shown, rf"(?is)<({_one_of(HIDDEN)})(?=[\s>/])[^>]*>.*?</\1\s*>", " ")
+    flat = F.regexp_replace(shown, r"\s+", " ")
+    lined = F.regexp_replace(flat, rf"(?i)</?(?:{_one_of(BLOCKS)})(?=[\s>/])[^>]*>", _BREAK)
+    spaced = F.regexp_replace(lined, rf"(?i)</?(?:{_one_of(CELLS)})(?=[\s>/])[^>]*>", " ")
+    bare = unescaped(F.regexp_replace(spaced, r"<[/!?a-zA-Z][^>]*>", ""))
+    is_markup = F.substring(body, 1, 4000).rlike(MARKUP)
+    blocks = F.when(is_markup, F.split(bare, _BREAK)).otherwise(F.split(body, r"\n[ \t\r]*\n"))
+    return F.array_join(F.filter(F.transform(blocks, normalised), lambda b: b != ""), "\n\n")
 
 
 def index_documents(pages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of the document tables of filing index pages; rows of under four cells
-    and header rows are left out."""
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for key, page in zip(frame[doc_id], frame[text], strict=True):
-                parser = _Rows()
-                parser.feed(page or "")
-                out += [(key, s, d, n.removesuffix(" iXBRL"), t, u) for s, d, n, t, u in parser.rows]
-            yield pd.DataFrame(out, columns=["doc_id", "sequence", "description", "document", "doc_type", "url"])
-
-    return pages.select(doc_id, text).mapInPandas(run, INDEX)
+    """``doc_id, sequence, description, document, doc_type, url``: rows of the document
+    tables of filing index pages; rows of under four cells are left out."""
+    line = F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1)).alias("line")
+    rows = pages.select(F.col(doc_id).alias("doc_id"), line)
+    plain = lambda c: normalised(F.regexp_replace(c, r"(?s)<[^>]*>", " "))
+    cells = F.transform(F.regexp_extract_all("line", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), 1), plain)
+    url = F.nullif(F.regexp_extract("line", r"(?i)href\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit(""))
+    parts = rows.select("doc_id", cells.alias("c"), url.alias("url")).where(F.size("c") >= 4)
+    cell = lambda i: F.get("c", F.lit(i))
+    return parts.select("doc_id", cell(0).alias("sequence"), cell(1).alias("description"), F.regexp_replace(cell(2), r" iXBRL$", "").alias("document"), cell(3).alias("doc_type"), "url")
 
 
 _HEADING = re.compile(r"(?im)^[ \t]*item\s+(\d{1,2}(?:\.\d{2})?[A-C]?)\b[.:\s-]*([^\n]{0,120})")

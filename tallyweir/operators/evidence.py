@@ -106,9 +106,13 @@ def earnings_highlights(documents: DataFrame, doc_id: str = "doc_id", text: str
 
 # Number words of board sizes.
 NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen")
+# Labels and amounts of fee tables, and the sentences that state a board's size.
 _FEE = r"(?i)((?:audit-related|audit|tax|all\s+other)\s+fees)(?:\s*\(1\))?[\s.:–—-]*\$?\s*([\d,]{5,})"
 
 
+_BOARD = r"(?i)\b(?:board\s+of\s+directors\s+(?:currently\s+)?consists\s+of|currently\s+have)\s+(\w+)(?:\s+\(\d+\))?\s+(?:directors?|members?)"
+
+
 def audit_fees(text: Column) -> Column:
     """array<struct<label, usd>> of stated fees between 10,000 and 200 million."""
     labels, amounts = (F.regexp_extract_all(text, F.lit(_FEE), i) for i in (1, 2))
@@ -118,7 +122,7 @@ def audit_fees(text: Column) -> Column:
 
 def board_size(text: Column) -> Column:
     """The stated number of directors, if it is between 3 and 30."""
-    said = F.lower(F.regexp_extract(text, r"(?i)\b(?:board\s+of\s+directors\s+(?:currently\s+)?consists\s+of|currently\s+have)\s+(\w+)(?:\s+\(\d+\))?\s+(?:directors?|members?)", 1))
+    said = F.lower(F.regexp_extract(text, _BOARD, 1))
     place = F.array_position(F.array(*[F.lit(w) for w in NUMBER_WORDS]), said).cast("int")
     size = F.coalesce(said.try_cast("int"), F.nullif(place, F.lit(0)))
     return F.when(size.between(3, 30), size)

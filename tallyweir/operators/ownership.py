@@ -158,6 +158,11 @@ def parsed(documents: DataFrame, rows_of, schema: str, doc_id: str = "doc_id", t
 
 
 OWNERS = "doc_id bigint, owner_name string, owner_cik string, shares double, percent double, security string, reported string, method string"
+# Amounts as covers write them, and the labels of legacy covers.
+_COVER_AMOUNT = r"\s*([\d,]+(?:\.\d+)?)\s*%?\s*(?:\([^)]+\))?\s*"
+_PERSON_LABEL = r"(?i)names? of reporting persons?[ \t]*(?:\([^)]*\))?"
+_SHARES_LABEL = r"aggregate amount beneficially owned(?: by each reporting person)?"
+_SHARE_LABEL = r"percent(?:age)? of class(?: represented by amount in row\s*\(?\d+\)?)?"
 # Element names of the two cover dialects (person, amount, percent, day).
 _COVERS = {
     "reportingPersonInfo": ("aggregateAmountOwned", "percentOfClass", "dateOfEvent"),
@@ -170,10 +175,18 @@ def _anywhere(node, name: str) -> str | None:
 
 
 def _amount(text: str | None) -> float | None:
-    m = re.fullmatch(r"\s*([\d,]+(?:\.\d+)?)\s*%?\s*(?:\([^)]+\))?\s*", text or "")
+    m = re.fullmatch(_COVER_AMOUNT, text or "")
     return float(m[1].replace(",", "")) if m else None
 
 
+def _labelled(lines: list[str], label: str) -> str | None:
+    """What stands behind a label on its line, or on the next line if nothing does."""
+    for line, after in zip(lines, [*lines[1:], ""], strict=False):
+        if m := re.search(label, line, re.I):
+            return line[m.end() :].strip(" :-") or after
+    return None
+
+
 def owner_rows(content: str | None) -> Iterator[tuple]:
     """Owners on a beneficial-ownership cover: from its elements, else from labelled
     lines of its text. A label whose value is lost gives no owner."""
@@ -188,10 +201,8 @@ def owner_rows(content: str | None) -> Iterator[tuple]:
             yield name, _anywhere(person, "reportingPersonCIK"), _amount(_anywhere(person, amount)), _amount(_anywhere(person, percent)), _anywhere(root, "securitiesClassTitle"), _anywhere(root, day), "elements"
     if found or not content:
         return
-    for block in re.split(r"(?i)names? of reporting persons?[ \t]*(?:\([^)]*\))?", content)[1:]:
+    for block in re.split(_PERSON_LABEL, content)[1:]:
         lines = [x.strip(" \t:-") for x in block.splitlines() if x.strip(" \t:-")]
-        value = lambda label, lines=lines: next((lines[i + 1] if not (t := re.split(label, x, maxsplit=1, flags=re.I)[1].strip(" :-")) and i + 1 < len(lines) else t for i, x in enumerate(lines) if re.search(label, x, re.I)), None)
-        shares = _amount(value(r"aggregate amount beneficially owned(?: by each reporting person)?"))
-        share = value(r"percent(?:age)? of class(?: represented by amount in row\s*\(?\d+\)?)?")
+        shares, share = _amount(_labelled(lines, _SHARES_LABEL)), _labelled(lines, _SHARE_LABEL)
         if lines and shares is not None and not re.fullmatch(r"\d+\.?", lines[0]):
             yield lines[0], None, shares, _amount(share) if share and "%" in share else None, None, None, "labels"

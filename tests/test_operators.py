@@ -60,11 +60,11 @@ def test_recaps_stay_where_nothing_is_fresh(spark):
     assert rows(events.text_events(df), "event_type", "background") == [("bankruptcy", True)]
 
 
-def test_plain_text():
-    page = "<DOCUMENT><TYPE>6-K\n<TEXT><html><head><title>no</title></head><body><p>A &amp; B</p><script>x</script><table><tr><td>1</td><td>2</td></tr></table>C<br>D</body></html></TEXT></DOCUMENT>"
-    assert documents.plain_text(page) == "A & B\n\n1 2\n\nC\n\nD"
-    assert documents.plain_text("a\nb\n\n c ") == "a b\n\nc"
-    assert documents.plain_text(None) == documents.plain_text("") == ""
+def test_plain_text(spark):
+    page = "<DOCUMENT><TYPE>6-K\n<TEXT><html><head><title>no</title></head><body><p>A &amp; B</p><!-- <p>no</p> --><script>x</script><table><tr><td>1</td><td>2</td></tr></table>C<br>D <b>b</b>old &lt;p&gt;</body></html></TEXT></DOCUMENT>"
+    texts = [page, "a\nb\n\n c ", "5 < 6 and 7 > 3", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", documents.document_text("t"))
+    assert [r[1] for r in rows(df)] == ["A & B\n\n1 2\n\nC\n\nD bold <p>", "a b\n\nc", "5 < 6 and 7 > 3", "", ""]
 
 
 def test_document_text_in_batches(spark):
