@@ -54,3 +54,20 @@ def quarter_end(year: Column, quarter: Column) -> Column:
 def strict_date(text: Column) -> Column:
     """yyyy-MM-dd as a date; NULL for anything else, impossible days included."""
     return F.try_to_date(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text), "yyyy-MM-dd")
+
+
+def long_date(text: Column) -> Column:
+    """'July 1, 2026' as a date; NULL for anything else."""
+    return F.try_to_date(F.when(text.rlike(r"^[A-Z][a-z]+ \d{1,2}, \d{4}$"), text), "MMMM d, yyyy")
+
+
+def reported_date(text: Column) -> Column:
+    """m/d/yyyy or yyyy-MM-dd in ISO form; other text as it is."""
+    slashed = F.try_to_date(F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), text), "M/d/yyyy")
+    return F.coalesce(slashed.cast("string"), strict_date(text).cast("string"), text)
+
+
+def aligned(start: Column, end: Column, anchor: Column) -> Column:
+    """Whether a flow ends within a week of the anchor, or an instant on it."""
+    off = F.abs(F.date_diff(end, anchor))
+    return F.when(start.isNull(), off == 0).otherwise(off <= TOLERANCE_DAYS)

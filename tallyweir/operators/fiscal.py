@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.functions.periods import TOLERANCE_DAYS
+from tallyweir.functions.periods import aligned
 
 
 def year_ends(filers: DataFrame, since: int, until: int) -> DataFrame:
@@ -45,10 +45,8 @@ def statement(winners: DataFrame, lines: list[str], anchor: str) -> DataFrame:
     line sets the period; a flow that ends more than a week off, or an instant on
     another day, is shown as missing."""
     ends = winners.where(F.col("alias") == anchor).select("cik", F.col("end").alias("anchor_end"))
-    off = F.abs(F.date_diff("end", "anchor_end"))
-    aligned = F.when(F.col("start").isNull(), off == 0).otherwise(off <= TOLERANCE_DAYS)
     place = F.array_position(F.array(*[F.lit(x) for x in lines]), F.col("alias")).cast("int")
-    rows = winners.where(F.col("alias").isin(*lines)).join(ends, "cik").withColumn("aligned", aligned)
+    rows = winners.where(F.col("alias").isin(*lines)).join(ends, "cik").withColumn("aligned", aligned(F.col("start"), F.col("end"), F.col("anchor_end")))
     return rows.select("cik", F.col("alias").alias("line"), place.alias("position"), F.when(F.col("aligned"), F.col("val")).alias("val"), "aligned")
 
 
@@ -78,3 +76,22 @@ def of_quarter(filings: DataFrame, quarter_end: Column) -> DataFrame:
     near = F.trunc("report_date", "month") == F.trunc(quarter_end, "month")
     order = F.struct(exact, F.col("filed"), F.col("filing_id"))
     return filings.where(near).groupBy("cik").agg(F.max_by(F.struct("accession", "report_date", "filed"), order).alias("r")).select("cik", "r.*")
+
+
+def runway(winners: DataFrame) -> DataFrame:
+    """``cik, end, monthly_burn, months``: how long cash lasts at the rate of the last
+    operating flow. All inputs must share the latest end and be in one currency;
+    a flow that is not negative has no runway, not an endless one."""
+    flow = winners.where("alias = 'operating_cash_flow' and start is not null").select("cik", "unit", "end", F.date_diff("end", "start").alias("days"), F.col("val").alias("flow"))
+    cash = winners.where("alias = 'cash'").select("cik", "unit", "end", F.col("val").alias("cash"))
+    both = flow.join(cash, ["cik", "unit", "end"]).where("days > 0")
+    burn = F.when(F.col("flow") < 0, -F.col("flow") / (F.col("days") / F.lit(30.4375)))
+    return both.select("cik", "end", burn.alias("monthly_burn"), F.try_divide(F.col("cash"), burn).alias("months"))
+
+
+def latest_unless_tied(rows: DataFrame, keys: list[str], series: str, at: str) -> DataFrame:
+    """Per key the series with the latest row; keys whose latest rows belong to more
+    than one series are left out, as either could be meant."""
+    last = rows.groupBy(*keys, series).agg(F.max(at).alias(at))
+    top = last.groupBy(*keys).agg(F.max(at).alias(at))
+    return last.join(top, [*keys, at]).groupBy(*keys, at).agg(F.count(F.lit(1)).alias("n"), F.min(series).alias(series)).where("n = 1").drop("n")

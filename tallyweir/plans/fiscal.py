@@ -110,3 +110,17 @@ def facts_of_name(spark: SparkSession, d: str) -> DataFrame:
     """Case-insensitive substring filter over names."""
     return _facts(spark, d).where(F.contains(F.lower("entity_name"), F.lit("bancorp")) & (F.col("fy") == 2020)).select("fact_id", "entity_name", "fy")
 
+
+
+@_query(f"""WITH {FACTS_SQL}, {ALIASED_SQL}, {WINNER_SQL}, o AS (SELECT cik, unit, "end", date_diff('day', start, "end") AS days, val FROM w WHERE alias = 'operating_cash_flow' AND start IS NOT NULL),
+c AS (SELECT cik, unit, "end", val AS cash FROM w WHERE alias = 'cash'), z AS (SELECT cik, "end", CASE WHEN val < 0 THEN -val / (days / 30.4375::DOUBLE) END AS monthly_burn, cash FROM o JOIN c USING (cik, unit, "end") WHERE days > 0)
+SELECT cik, "end", monthly_burn, cash / monthly_burn AS months FROM z""")
+def cash_runway(spark: SparkSession, d: str) -> DataFrame:
+    return O.runway(alias_winner(_facts(spark, d), alias_table(spark)))
+
+
+@_query(f"""WITH {FILINGS_SQL}, n AS (SELECT filing_id, file_number FROM filings WHERE file_number <> ''), s AS (SELECT cik, file_number, max(filed) AS filed FROM g JOIN n USING (filing_id) GROUP BY cik, file_number),
+t AS (SELECT * FROM s QUALIFY rank() OVER (PARTITION BY cik ORDER BY filed DESC) = 1) SELECT cik, filed, min(file_number) AS file_number FROM t GROUP BY cik, filed HAVING count(*) = 1""")
+def latest_series(spark: SparkSession, d: str) -> DataFrame:
+    numbers = table(spark, d, "filings").where("file_number <> ''").select("filing_id", "file_number")
+    return O.latest_unless_tied(filings(spark, d).join(numbers, "filing_id"), ["cik"], "file_number", "filed")

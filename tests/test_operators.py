@@ -7,9 +7,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweir.functions import cutoffs, periods
 from tallyweir.functions import texts as T
 from tallyweir.functions.metrics import BY_NAME, envelope, value
-from tallyweir.operators import discovery, documents, events, evidence, facts, incremental, ownership, series
+from tallyweir.operators import discovery, documents, events, evidence, exhibits, facts, incremental, ownership, series
 
 from .conftest import rows
 
@@ -228,3 +229,30 @@ def test_owners(spark):
     df = spark.createDataFrame([(1, cover), (2, legacy), (3, None), (4, "<x/>")], "doc_id bigint, text string")
     got = ownership.parsed(df, ownership.owner_rows, ownership.OWNERS)
     assert rows(got) == [(1, "A", "9", 1234.0, 5.5, "Common", "01/02/2020", "elements"), (2, "Beta LP", None, 2000.0, 6.1, None, None, "labels")]
+
+
+def test_cutoffs():
+    assert cutoffs.parse_cutoff("2020-06-30") == (dt.datetime(2020, 6, 30, 23, 59, 59, 999999, dt.UTC), False)
+    assert cutoffs.parse_cutoff("2020-06-30T18:00:00-04:00") == (dt.datetime(2020, 6, 30, 22, tzinfo=dt.UTC), True)
+    for bad in ("2020-06-30T18:00:00", "2020-02-30", "yesterday", ""):
+        with pytest.raises(ValueError):
+            cutoffs.parse_cutoff(bad)
+    assert cutoffs.tighter("2020-06-30", "2020-06-30T18:00:00Z") == "2020-06-30T18:00:00Z" and cutoffs.tighter(None, None) is None
+
+
+def test_exhibits(spark):
+    docs = [("10-K", "a.htm"), ("EX-99.1", "b.htm"), ("EX-101.SCH", "c.xml"), ("ex-10 ", "d.TXT"), ("EX-99.2", "e.jpg"), (None, "f.htm"), ("EX-1", None)]
+    df = spark.createDataFrame(docs, "doc_type string, document string")
+    assert rows(exhibits.exhibits(df), "document") == [("b.htm",), ("d.TXT",)]
+    assert rows(exhibits.exhibits(df, ["99"]), "document") == [("b.htm",)]
+    links = ["https://www.x.org/ix?doc=/a/b.htm", "https://www.x.org/a", "http://www.x.org/a", "https://evil.org/www.x.org", "https://www.x.org@evil.org/a", "https://www.x.org:99/", None]
+    got = spark.createDataFrame([(u,) for u in links], "u string").select(exhibits.direct_url(F.col("u"), ["www.x.org"]).alias("x")).collect()
+    assert [r.x for r in got] == ["https://www.x.org/a/b.htm", "https://www.x.org/a", None, None, None, None, None]
+    got = spark.createDataFrame([("<p>x</p>",), (" ",), (None,), ("<script>loadViewer()</script>",)], "b string").select(exhibits.readable_body(F.col("b")).alias("x")).collect()
+    assert [r.x for r in got] == [True, False, False, False]
+
+
+def test_dates(spark):
+    df = spark.createDataFrame([("July 1, 2026",), ("1/2/2020",), ("2020-01-02",), ("soon",), (None,)], "t string")
+    got = df.select(periods.long_date(F.col("t")).cast("string").alias("a"), periods.reported_date(F.col("t")).alias("b")).collect()
+    assert [tuple(r) for r in got] == [("2026-07-01", "July 1, 2026"), (None, "2020-01-02"), (None, "2020-01-02"), (None, "soon"), (None, None)]
