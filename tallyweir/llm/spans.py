@@ -30,8 +30,9 @@ from tallyweir.session import written
 
 SPAN = 240
 ANCHOR = 100
-#: Window starts of a text handled at a time; bounds memory for texts of any length.
-SEGMENT = 1 << 20
+#: Window starts of a text handled at a time; bounds memory for texts of any length (the search for the least
+#: hash copies SPAN - ANCHOR hashes for each).
+SEGMENT = 1 << 13
 
 _SKETCH = pa.schema([("tid", pa.int64()), ("part", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("node", pa.int64()), ("edge", pa.int64())])
 _CLAIMS = pa.schema([("tid", pa.int64()), ("part", pa.int32()), ("lo", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
