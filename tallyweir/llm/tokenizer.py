@@ -43,6 +43,13 @@ WHITE_SPACE = (
     9, 10, 11, 12, 13, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202,
     8232, 8233, 8239, 8287, 12288,
 )
+# Ranges assigned in Unicode 16, which the vocabulary's libraries know and older tables lack.
+UNICODE_16_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+UNICODE_16_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
@@ -51,6 +58,9 @@ def _classes() -> np.ndarray:
     kinds = {"L": _L, "N": _N}
     out = np.fromiter((kinds.get(unicodedata.category(chr(i))[0], _O) for i in range(0x110000)), np.uint8, 0x110000)
     out[list(WHITE_SPACE)] = _S
+    for ranges, kind in ((UNICODE_16_LETTERS, _L), (UNICODE_16_NUMBERS, _N)):
+        for first, last in ranges:
+            out[first : last + 1] = kind
     return out
 
 

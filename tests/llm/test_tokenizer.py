@@ -44,6 +44,17 @@ def test_against_public_library(both, chunk):
         assert encode(v, texts, chunk) == [other.encode_ordinary(t or "") for t in texts]
 
 
+def test_every_code_point_has_the_library_s_class(both):
+    """A quote after a character begins a contraction unless both are marks."""
+    v, other = both
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c != 0x20]
+    texts = [f"x{chr(c)}'s" for c in points]
+    whole = v.ranks[b"'s"]
+    assert [e[-1] == whole for e in other.encode_ordinary_batch(texts, num_threads=4)] == [T._classes()[c] != T._O for c in points]
+    sample = [chr(c) + "1" + chr(c) + "a " + chr(c) for a, b in (*T.UNICODE_16_LETTERS, *T.UNICODE_16_NUMBERS) for c in (a, b)]
+    assert encode(v, sample) == [other.encode_ordinary(t) for t in sample]
+
+
 def test_long_texts_and_words(both):
     v, other = both
     rng = random.Random(6)
