@@ -10,21 +10,33 @@ TAG_NAMESPACES = ("us-gaap", "ifrs-full", "dei")
 UNIT_NAMESPACES = ("iso4217",)
 
 
+#: The white space that is trimmed.
+_BLANKS = " \t\n\x0b\f\r"
+
+
+def _column(x: Column | str) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def _bare(col: Column) -> Column:
+    """Without surrounding blanks."""
+    return F.btrim(col, F.lit(_BLANKS))
+
+
 def cik_number(cik: Column | str) -> Column:
     """The number in a filer key without leading zeros ('CIK0000012' -> '12').
 
     NULL where no digit is written; a key of only zeros is '0'. Kept as text so
     that no length overflows.
     """
-    col = F.col(cik) if isinstance(cik, str) else cik
-    digits = F.regexp_extract(col, r"(\d+)", 1)
-    return F.when(digits != "", F.regexp_replace(digits, r"^0+(?=\d)", ""))
+    digits = F.regexp_extract(_column(cik), r"(\d+)", 1)
+    number = F.ltrim(digits, F.lit("0"))
+    return F.when(digits != "", F.when(number == "", F.lit("0")).otherwise(number))
 
 
 def accession_digits(accession: Column | str) -> Column:
     """The digits of an accession; NULL where there is none."""
-    col = F.col(accession) if isinstance(accession, str) else accession
-    digits = F.regexp_replace(col, r"[^0-9]", "")
+    digits = F.regexp_replace(_column(accession), r"[^0-9]", "")
     return F.when(digits != "", digits)
 
 
@@ -33,27 +45,24 @@ def accession_18(accession: Column | str) -> Column:
 
     All zeros is a placeholder, not an accession.
     """
-    col = F.col(accession) if isinstance(accession, str) else accession
-    bare = F.regexp_replace(F.regexp_replace(col, r"^\s+|\s+$", ""), "-", "")
+    bare = F.translate(_bare(_column(accession)), "-", "")
     return F.when(bare.rlike(r"^\d{18}$") & (bare != "0" * 18), bare)
 
 
 def _plain(col: Column, namespaces: tuple[str, ...], marks: str) -> Column:
-    low = F.lower(F.regexp_replace(col, r"^\s+|\s+$", ""))
-    return F.regexp_replace(low, rf"^(?:{'|'.join(namespaces)})[{marks}]", "")
+    return F.regexp_replace(F.lower(_bare(col)), rf"^(?:{'|'.join(namespaces)})[{marks}]", "")
 
 
 def tag_key(tag: Column | str) -> Column:
     """A concept name without case, blanks and namespace."""
-    return _plain(F.col(tag) if isinstance(tag, str) else tag, TAG_NAMESPACES, ":_")
+    return _plain(_column(tag), TAG_NAMESPACES, ":_")
 
 
 def unit_key(unit: Column | str) -> Column:
     """A unit without case, blanks and namespace."""
-    return _plain(F.col(unit) if isinstance(unit, str) else unit, UNIT_NAMESPACES, ":")
+    return _plain(_column(unit), UNIT_NAMESPACES, ":")
 
 
 def context_key(context: Column | str) -> Column:
     """A reporting context without case and blanks."""
-    col = F.col(context) if isinstance(context, str) else context
-    return F.lower(F.regexp_replace(col, r"^\s+|\s+$", ""))
+    return F.lower(_bare(_column(context)))

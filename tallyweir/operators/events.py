@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweir.functions.texts import clipped, item_numbers, sentences
+from tallyweir.session import spread
 
 # The rules (type, must match, must not match); case is ignored.
 ACTION = (
@@ -120,7 +121,8 @@ INFORMATIVE, SNIPPET = 80, 900
 
 def sentence_rows(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, pos, sentence``; texts without a sentence have no row."""
-    return documents.select(F.col(doc_id).alias("doc_id"), F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))
+    docs = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id")
+    return docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 def rule_test(low: Column, kind: str, must: str, but: str | None, guarded: bool = True) -> Column:

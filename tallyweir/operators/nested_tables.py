@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.session import fresh_path
+from tallyweir.session import fresh_path, spread
 
 #: Members that make up each level, beside the repeated ones.
 FACT_MEMBERS = ("start", "end", "val", "accn", "fy", "fp", "form", "filed", "frame")
@@ -197,7 +197,7 @@ def triples(records: DataFrame, record_id: str = "record_id", text: str = "facts
                 yield _table(ids, rows)
 
     plain = records.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(text).cast("string").alias("text")).where("record_id is not null and text is not null")
-    return plain.mapInArrow(parse, TRIPLES)
+    return spread(plain, "record_id").mapInArrow(parse, TRIPLES)
 
 
 _PATHS = {

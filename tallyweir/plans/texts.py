@@ -11,6 +11,7 @@ from tallyweir.operators import events as E
 from tallyweir.operators import evidence as V
 from tallyweir.operators.incremental import bodies
 from tallyweir.plans.facts import FILINGS_SQL, filings
+from tallyweir.session import spread
 from tallyweir.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -27,7 +28,7 @@ def _query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 @_query(r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), '^ | $', '', 'g') AS t FROM documents WHERE text IS NOT NULL)

@@ -76,3 +76,10 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     spark.sparkContext.addPyFile(at)
     spark.conf.set("tallyweir.shipped", "yes")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df``, over all cores where its input comes in fewer partitions, as a single
+    small file does. Inputs of many partitions are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
