@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweir.llm.hashing import Prefix, code_points
-from tallyweir.session import written
+from tallyweir.session import spread, written
 
 SPAN = 240
 ANCHOR = 100
@@ -123,7 +123,7 @@ def shared_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     docs = documents.select(F.col(doc_id).cast("bigint").alias("tid"), F.hash(text).alias("part"), F.col(text).cast("string").alias("text")).where(
         F.col("tid").isNotNull() & (F.length("text") >= span)
     )
-    sketch = written(docs.mapInArrow(_sketches(span, k, segment), "tid bigint, part int, lo int, hi int, node bigint, edge bigint"), "sketch")
+    sketch = written(spread(docs, "tid").mapInArrow(_sketches(span, k, segment), "tid bigint, part int, lo int, hi int, node bigint, edge bigint"), "sketch")
     ends = [F.min("tid").alias("t0"), F.max("tid").alias("t1")]
     nodes = (
         sketch.groupBy("node").agg(*ends, F.min("edge").alias("e0"), F.max("edge").alias("e1")).where("t0 < t1")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweir.session import spread
+
 #: Place of the vocabulary; a parameter of every operator.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of text handled at a time.
@@ -409,7 +411,7 @@ def _mapped(documents: DataFrame, doc_id: str, text: str, path: str, only_counts
     """The vocabulary is built once and broadcast; its size is that of its file."""
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary(path))
     plain = documents.select(F.col(doc_id).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
-    return plain.mapInArrow(_run(shared, only_counts), f"key bigint, value {'bigint' if only_counts else 'array<int>'}")
+    return spread(plain, "key").mapInArrow(_run(shared, only_counts), f"key bigint, value {'bigint' if only_counts else 'array<int>'}")
 
 
 def encoded(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
