@@ -53,7 +53,8 @@ def nearest_instant(targets: DataFrame, instants: DataFrame, most_days: int) ->
 
 
 def amendment_pairs(filings: DataFrame) -> DataFrame:
-    """Each amendment ``X/A`` with the last ``X`` of the filer filed before it.
+    """Each amendment ``X/A`` with the last ``X`` of the filer filed before it; one
+    without a day has no original.
 
     Originals are changes that are available from the day after they were filed,
     amendments are events: the last known one is carried forward in one sorted pass,
@@ -66,7 +67,7 @@ def amendment_pairs(filings: DataFrame) -> DataFrame:
     changes = filings.where(~amends).select(base.alias("entity"), F.col("filing_id").alias("version_id"), day(1).alias("valid_from"), day(1).alias("known_at"))
     paired = carry_forward(events, changes, bucket_days=365).select(F.col("event_id").alias("filing_id"), "version_id")
     originals = filings.select(F.col("filing_id").alias("version_id"), F.col("accession").alias("original_accession"), F.col("filed").alias("original_filed"))
-    out = filings.where(amends).join(paired, "filing_id").join(originals, "version_id", "left")
+    out = filings.where(amends).join(paired, "filing_id", "left").join(originals, "version_id", "left")
     return out.select("cik", "form", "accession", "filed", "original_accession", "original_filed")
 
 

@@ -91,7 +91,8 @@ def runway(winners: DataFrame) -> DataFrame:
 
 def latest_unless_tied(rows: DataFrame, keys: list[str], series: str, at: str) -> DataFrame:
     """Per key the series with the latest row; keys whose latest rows belong to more
-    than one series are left out, as either could be meant."""
+    than one series are left out, as either could be meant. Rows without ``at`` come
+    before all others."""
     last = rows.groupBy(*keys, series).agg(F.max(at).alias(at))
-    top = last.groupBy(*keys).agg(F.max(at).alias(at))
-    return last.join(top, [*keys, at]).groupBy(*keys, at).agg(F.count(F.lit(1)).alias("n"), F.min(series).alias(series)).where("n = 1").drop("n")
+    top = last.groupBy(*keys).agg(F.max(at).alias("_top"))
+    return last.join(top, keys).where(F.col(at).eqNullSafe(F.col("_top"))).groupBy(*keys, at).agg(F.count(F.lit(1)).alias("n"), F.min(series).alias(series)).where("n = 1").drop("n")

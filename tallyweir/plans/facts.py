@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweir.functions.aliases import PERIODIC_FORMS, alias_table, alias_values_sql
-from tallyweir.functions.periods import strict_date
+from tallyweir.functions.instants import parse_day
 from tallyweir.operators import facts as O
+from tallyweir.session import require_utc
 from tallyweir.sources.tables import table
 
 CUTOFF = "2020-06-30 18:00:00"
@@ -19,12 +20,14 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filings(spark: SparkSession, d: str) -> DataFrame:
-    """The filing index with strict days; only rows whose day is plainly written."""
+    """The filing index with days of any notation. Rows whose day is missing or
+    unreadable stay, with NULL; queries that go by day leave them out themselves."""
+    require_utc(spark)
     f = table(spark, d, "filings")
     return f.select(
         F.col("filing_id").cast("bigint").alias("filing_id"), F.lpad(O.cik_number("cik"), 10, "0").alias("cik"), O.accession_18("accession").alias("accession"),
-        "form", strict_date(F.col("filed")).alias("filed"), "report_date", "item_list", "size_bytes", "is_xbrl", "is_inline_xbrl", "primary_document", "loaded_at",
-    ).where("cik is not null and filed is not null and accession is not null")
+        "form", parse_day(F.col("filed")).alias("filed"), "report_date", "item_list", "size_bytes", "is_xbrl", "is_inline_xbrl", "primary_document", "loaded_at",
+    ).where("cik is not null and accession is not null")
 
 
 FACTS_SQL = r"""
