@@ -208,9 +208,9 @@ def comparable_facts(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"""WITH {FACTS_SQL} SELECT cik, unit, frame, val, fact_id FROM f WHERE frame = 'CY2020Q1' AND tag = 'revenues' AND unit = 'usd' ORDER BY val DESC, fact_id LIMIT 100""")
 def frame_scan(spark: SparkSession, d: str) -> DataFrame:
-    """One concept and calendar period across filers: the hundred largest."""
+    """One concept and calendar period across filers: all facts, largest first."""
     f = _facts(spark, d).where("frame = 'CY2020Q1' and tag = 'revenues' and unit = 'usd'")
-    return f.orderBy(F.desc("val"), "fact_id").limit(100).select("cik", "unit", "frame", "val", "fact_id")
+    return f.orderBy(F.desc("val"), "fact_id").select("cik", "unit", "frame", "val", "fact_id")
 
 
 @_query(f"""WITH {FACTS_SQL}, t AS (SELECT cik, tag, unit, fact_id, filed, row_number() OVER (PARTITION BY cik ORDER BY filed DESC, fact_id DESC) AS pos, count(*) OVER (PARTITION BY cik) AS total FROM f)

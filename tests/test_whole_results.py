@@ -13,6 +13,10 @@ FILINGS = (
     "filing_id bigint, cik string, accession string, form string, filed string, report_date date, file_number string, item_list string, "
     "size_bytes bigint, is_xbrl int, is_inline_xbrl int, primary_document string, loaded_at timestamp"
 )
+FACTS = (
+    "fact_id bigint, cik string, entity_name string, taxonomy string, tag string, unit string, start_date date, end_date date, val double, "
+    "accession string, fy int, fp string, form string, filed date, frame string"
+)
 
 
 def accession(n):
@@ -23,6 +27,10 @@ def filing(n, form, filed):
     return (n, "7", accession(n), form, filed, D(2020, 3, 31), "333-1", None, 1, 1, 0, "a.htm", dt.datetime(2021, 1, 1))
 
 
+def fact(n, filed=D(2020, 5, 1), of=None):
+    return (n, str(n), f"Filer {n}", "us-gaap", "Revenues", "USD", D(2020, 1, 1), D(2020, 3, 31), float(n), accession(of or n), 2020, "Q1", "10-Q", filed, "CY2020Q1")
+
+
 @pytest.fixture(scope="module")
 def filings_dir(spark, tmp_path_factory):
     """One filer: an original, its amendment, and days in every kind of notation."""
@@ -60,3 +68,9 @@ def test_latest_series_without_a_day(spark, tmp_path):
     spark.createDataFrame(written, FILINGS).write.parquet(f"{tmp_path}/filings.parquet")
     got = rows(entry.queries()["latest_series"](spark, str(tmp_path)), "file_number", "filed")
     assert got == [("333-1", None), ("333-2", D(2020, 1, 2))]
+
+
+def test_frame_scan_has_every_filer(spark, tmp_path):
+    spark.createDataFrame([fact(n) for n in range(1, 251)], FACTS).write.parquet(f"{tmp_path}/facts.parquet")
+    got = entry.queries()["frame_scan"](spark, str(tmp_path)).collect()
+    assert [r.fact_id for r in got] == list(range(250, 0, -1))
