@@ -75,6 +75,16 @@ def carry_forward(events: DataFrame, changes: DataFrame, bucket_days: int = BUCK
     )
 
 
+def acceptances(submissions: DataFrame) -> DataFrame:
+    """``acc, accepted``: the earliest instant of the submissions with the same 18
+    accession digits, where one is readable."""
+    return (
+        submissions.select(accession_18("accessionnumber").alias("acc"), parse_instant(F.col("acceptancedatetime").cast("string")).alias("at"))
+        .where("acc is not null and at is not null")
+        .groupBy("acc").agg(F.min("at").alias("accepted"))
+    )
+
+
 def fact_events(facts: DataFrame, submissions: DataFrame) -> DataFrame:
     """``entity, event_id, at`` of each fact: when its filing was accepted.
 
@@ -83,15 +93,10 @@ def fact_events(facts: DataFrame, submissions: DataFrame) -> DataFrame:
     Facts without an accession get a key of their own, so that they do not meet
     in one task.
     """
-    accepted = (
-        submissions.select(accession_18("accessionnumber").alias("acc"), parse_instant(F.col("acceptancedatetime").cast("string")).alias("at"))
-        .where("acc is not null and at is not null")
-        .groupBy("acc").agg(F.min("at").alias("accepted"))
-    )
     acc = F.coalesce(accession_18("accession"), F.concat(F.lit("~"), F.col("fact_id").cast("string")), F.lit("~"))
     return (
         facts.select(acc.alias("acc"), cik_number("cik").alias("entity"), F.col("fact_id").cast("bigint").alias("event_id"), F.col("filed").cast("date").alias("filed"))
-        .join(accepted, "acc", "left")
+        .join(acceptances(submissions), "acc", "left")
         .select("entity", "event_id", F.coalesce("accepted", F.expr("timestamp_seconds(unix_date(filed) * 86400L)")).alias("at"))
     )
 

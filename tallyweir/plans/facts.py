@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyweir.functions.aliases import PERIODIC_FORMS, alias_table, alias_values_sql
 from tallyweir.functions.instants import parse_day
 from tallyweir.operators import facts as O
+from tallyweir.operators.asof_attributes import acceptances
 from tallyweir.session import require_utc
 from tallyweir.sources.tables import table
 
@@ -166,7 +167,8 @@ acc AS (SELECT accession, min(loaded_at) AS acceptance_ts FROM g GROUP BY access
 SELECT fact_id, acceptance_ts IS NOT NULL AS accepted_known FROM f LEFT JOIN acc USING (accession)
 WHERE CASE WHEN acceptance_ts IS NOT NULL THEN acceptance_ts <= TIMESTAMPTZ '{CUTOFF}+00' ELSE filed < DATE '{CUTOFF[:10]}' - 1 END""")
 def asof_facts(spark: SparkSession, d: str) -> DataFrame:
-    acc = filings(spark, d).groupBy("accession").agg(F.min("loaded_at").alias("acceptance_ts"))
+    """Facts public at the cutoff: by the acceptance of their filing, else by ``filed``."""
+    acc = acceptances(table(spark, d, "submissions")).select(F.col("acc").alias("accession"), F.col("accepted").alias("acceptance_ts"))
     return O.as_of(_facts(spark, d), acc, CUTOFF, intraday=True).select("fact_id", F.col("acceptance_ts").isNotNull().alias("accepted_known"))
 
 

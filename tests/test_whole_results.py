@@ -74,3 +74,13 @@ def test_frame_scan_has_every_filer(spark, tmp_path):
     spark.createDataFrame([fact(n) for n in range(1, 251)], FACTS).write.parquet(f"{tmp_path}/facts.parquet")
     got = entry.queries()["frame_scan"](spark, str(tmp_path)).collect()
     assert [r.fact_id for r in got] == list(range(250, 0, -1))
+
+
+def test_asof_facts_go_by_acceptance(spark, tmp_path):
+    """Acceptance counts, in any notation, whenever the filing was loaded; without one the day does."""
+    days = {1: D(2020, 6, 29), 2: D(2020, 6, 30), 3: D(2020, 6, 28), 4: D(2020, 6, 29), 5: D(2020, 5, 1)}
+    spark.createDataFrame([fact(n, day) for n, day in days.items()], FACTS).write.parquet(f"{tmp_path}/facts.parquet")
+    spark.createDataFrame([filing(n, "10-Q", str(day)) for n, day in days.items()], FILINGS).write.parquet(f"{tmp_path}/filings.parquet")
+    taken = [(accession(1), "06/30/2020 01:59 PM ET"), (accession(1), "2020-07-09T00:00:00Z"), (accession(2), "2020-06-30T18:00:01Z"), (accession(3), "n/a")]
+    spark.createDataFrame(taken, "accessionnumber string, acceptancedatetime string").write.parquet(f"{tmp_path}/submissions.parquet")
+    assert rows(entry.queries()["asof_facts"](spark, str(tmp_path)), "fact_id", "accepted_known") == [(1, True), (3, False), (5, False)]
