@@ -1,6 +1,7 @@
 """Queries that once left out part of their rows, on small tables of their own."""
 
 import datetime as dt
+from hashlib import md5
 
 import pytest
 
@@ -84,3 +85,13 @@ def test_asof_facts_go_by_acceptance(spark, tmp_path):
     taken = [(accession(1), "06/30/2020 01:59 PM ET"), (accession(1), "2020-07-09T00:00:00Z"), (accession(2), "2020-06-30T18:00:01Z"), (accession(3), "n/a")]
     spark.createDataFrame(taken, "accessionnumber string, acceptancedatetime string").write.parquet(f"{tmp_path}/submissions.parquet")
     assert rows(entry.queries()["asof_facts"](spark, str(tmp_path)), "fact_id", "accepted_known") == [(1, True), (3, False), (5, False)]
+
+
+def test_body_rows_cut_long_texts(spark, tmp_path):
+    """Texts over 4 MiB stay, without the character that the limit would cut in two."""
+    most, texts = 4 << 20, {1: "short", 2: "x" + "é" * (2 << 20), 3: "€" * (2 << 20), 4: "a" * (4 << 20), 5: "𝄞" * (1 << 20) + "z"}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cut = {n: t.encode()[:most].decode(errors="ignore").encode() for n, t in texts.items()}
+    want = [(n, len(cut[n]), len(t.encode()) > most, md5(cut[n]).hexdigest()) for n, t in texts.items()]
+    assert rows(entry.queries()["body_rows"](spark, str(tmp_path)), "doc_id", "body_length", "truncated", "digest") == want
+    assert [r[2] for r in want] == [False, True, True, False, True]
