@@ -140,7 +140,8 @@ def plain_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def share_statements(spark: SparkSession, d: str) -> DataFrame:
-    return V.statements(_docs(spark, d)).select("doc_id", "topic", "pos", "sentence", "as_of", "ratio", F.size("figures").alias("n_figures"))
+    """All statements about shares, each sentence of a text once a topic."""
+    return V.statements(_docs(spark, d), most=None).select("doc_id", "topic", "pos", "sentence", "as_of", "ratio", F.size("figures").alias("n_figures"))
 
 
 @_query()

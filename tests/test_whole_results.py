@@ -6,6 +6,7 @@ from hashlib import md5
 import pytest
 
 import __spark_entry__ as entry
+from tallyweir.operators import evidence
 
 from .conftest import rows
 
@@ -95,3 +96,12 @@ def test_body_rows_cut_long_texts(spark, tmp_path):
     want = [(n, len(cut[n]), len(t.encode()) > most, md5(cut[n]).hexdigest()) for n, t in texts.items()]
     assert rows(entry.queries()["body_rows"](spark, str(tmp_path)), "doc_id", "body_length", "truncated", "digest") == want
     assert [r[2] for r in want] == [False, True, True, False, True]
+
+
+def test_share_statements_are_all_there_once(spark, tmp_path):
+    said = [f"Warrants for {i},000 shares are exercisable now." for i in range(1, 13)]
+    docs = spark.createDataFrame([(1, " ".join([said[0]] * 9 + said))], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(entry.queries()["share_statements"](spark, str(tmp_path)), "pos", "sentence")
+    assert got == [(0, said[0]), *((i + 9, said[i]) for i in range(1, 12))]
+    assert rows(evidence.statements(docs), "pos") == [(0,), *((i + 9,) for i in range(1, 8))]
