@@ -3,8 +3,10 @@
 Tokens are content-defined anchors: of the ``ANCHOR`` character k-mers in each
 window of ``SPAN`` characters the one with the least hash. Whoever shares a
 window shares its anchor at the same place, so nothing is missed. Anchors are
-the nodes of a de Bruijn graph in token space; the edge at a node is the exact
-text of all windows that have this anchor, which reaches over its neighbours.
+nodes; the edge at a node is the text of all windows that have this anchor, which
+reaches over its neighbours, as a 64-bit hash. Nodes are not linked to their
+successors and paths are not compacted; neighbouring ranges are merged by their
+coordinates when characters are counted.
 
 Nodes met in two or more records are kept. An edge met in two or more records is
 a proven span, whatever its length; where a node has only one edge the path does
