@@ -9,6 +9,7 @@ from tallyweir.functions.aliases import PERIODIC_FORMS, alias_table, alias_value
 from tallyweir.functions.instants import parse_day
 from tallyweir.operators import facts as O
 from tallyweir.operators.asof_attributes import acceptances
+from tallyweir.plans.pipeline import parts_sql
 from tallyweir.session import require_utc
 from tallyweir.sources.tables import table
 
@@ -42,14 +43,17 @@ f AS (SELECT * FROM (
       THEN replace(trim(accession), '-', '') END AS accession, fy, fp, form, frame
   FROM facts) WHERE cik IS NOT NULL AND tag IS NOT NULL AND unit IS NOT NULL AND "end" IS NOT NULL AND val IS NOT NULL AND filed IS NOT NULL)
 """
-FILINGS_SQL = r"""
+# Days of every notation by the SQL of problem 2; rows without a readable day stay, with NULL.
+FILINGS_SQL = rf"""{parts_sql("SELECT 'filings' AS tbl, filing_id AS row_id, 'filed' AS fld, filed AS raw FROM filings").strip()},
 g AS (SELECT * FROM (
   SELECT filing_id, lpad(regexp_replace(regexp_extract(cik, '([0-9]+)', 1), '^0+([0-9])', '\1'), 10, '0') AS cik,
-    CASE WHEN regexp_full_match(replace(trim(accession), '-', ''), '[0-9]{18}') AND replace(trim(accession), '-', '') <> '000000000000000000'
-      THEN replace(trim(accession), '-', '') END AS accession, form,
-    CASE WHEN regexp_full_match(filed, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN try_cast(filed AS DATE) END AS filed, report_date, item_list, size_bytes,
+    CASE WHEN regexp_full_match(replace(trim(accession), '-', ''), '[0-9]{{18}}') AND replace(trim(accession), '-', '') <> '000000000000000000'
+      THEN replace(trim(accession), '-', '') END AS accession, form, day AS filed, report_date, item_list, size_bytes,
     is_xbrl, is_inline_xbrl, primary_document, loaded_at
-  FROM filings) WHERE cik IS NOT NULL AND filed IS NOT NULL AND accession IS NOT NULL)
+  FROM filings LEFT JOIN days ON row_id = filing_id) WHERE cik IS NOT NULL AND accession IS NOT NULL)
+"""
+ACCEPTED_SQL = f"""{parts_sql("SELECT replace(trim(accessionnumber), '-', '') AS tbl, sub_id AS row_id, '' AS fld, acceptancedatetime AS raw FROM submissions WHERE regexp_full_match(replace(trim(accessionnumber), '-', ''), '[0-9]{18}')").strip()},
+acc AS (SELECT tbl AS accession, min(utc) AS acceptance_ts FROM inst WHERE utc IS NOT NULL GROUP BY tbl)
 """
 LENGTH_SQL = """coalesce(date_diff('day', start, "end"), 0)"""
 TYPE_SQL = """CASE WHEN start IS NULL THEN 'instant' WHEN date_diff('day', start, "end") BETWEEN 300 AND 380 THEN 'annual'
@@ -162,10 +166,9 @@ def concept_summary(spark: SparkSession, d: str) -> DataFrame:
     return O.concept_summary(_facts(spark, d))
 
 
-@_query(f"""WITH {FACTS_SQL}, {FILINGS_SQL},
-acc AS (SELECT accession, min(loaded_at) AS acceptance_ts FROM g GROUP BY accession)
+@_query(f"""WITH {FACTS_SQL}, {ACCEPTED_SQL}
 SELECT fact_id, acceptance_ts IS NOT NULL AS accepted_known FROM f LEFT JOIN acc USING (accession)
-WHERE CASE WHEN acceptance_ts IS NOT NULL THEN acceptance_ts <= TIMESTAMPTZ '{CUTOFF}+00' ELSE filed < DATE '{CUTOFF[:10]}' - 1 END""")
+WHERE CASE WHEN acceptance_ts IS NOT NULL THEN acceptance_ts <= TIMESTAMP '{CUTOFF}' ELSE filed < DATE '{CUTOFF[:10]}' - 1 END""")
 def asof_facts(spark: SparkSession, d: str) -> DataFrame:
     """Facts public at the cutoff: by the acceptance of their filing, else by ``filed``."""
     acc = acceptances(table(spark, d, "submissions")).select(F.col("acc").alias("accession"), F.col("accepted").alias("acceptance_ts"))
@@ -208,7 +211,7 @@ def comparable_facts(spark: SparkSession, d: str) -> DataFrame:
     return O.comparable(_facts(spark, d), 4).select("cik", "tag", "unit", "fact_id", F.col("pos").cast("bigint").alias("pos"))
 
 
-@_query(f"""WITH {FACTS_SQL} SELECT cik, unit, frame, val, fact_id FROM f WHERE frame = 'CY2020Q1' AND tag = 'revenues' AND unit = 'usd' ORDER BY val DESC, fact_id LIMIT 100""")
+@_query(f"""WITH {FACTS_SQL} SELECT cik, unit, frame, val, fact_id FROM f WHERE frame = 'CY2020Q1' AND tag = 'revenues' AND unit = 'usd' """)
 def frame_scan(spark: SparkSession, d: str) -> DataFrame:
     """One concept and calendar period across filers: all facts, largest first."""
     f = _facts(spark, d).where("frame = 'CY2020Q1' and tag = 'revenues' and unit = 'usd'")

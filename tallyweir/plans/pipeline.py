@@ -52,7 +52,7 @@ _SUNDAY = "(make_date(y, {m}, {d}) + ((7 - dayofweek(make_date(y, {m}, {d}))) %
 _ISO, _US, _MDY, _DMY = r"^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})", r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}|[0-9]{2})(?:$|[^0-9])", r"^([a-z]{3,9})\.? ([0-9]{1,2}), ([0-9]{4})", r"^([0-9]{1,2})[- ]([a-z]{3,9})[- ]([0-9]{4})"
 
 
-def _parts_sql(cells: str) -> str:
+def parts_sql(cells: str) -> str:
     """CTEs from ``cells(tbl, row_id, fld, raw)`` to ``inst``: with local time, offset,
     instant (UTC) and day of each cell."""
     pick = lambda iso, us, mdy, dmy, plain: (
@@ -100,9 +100,9 @@ UNION ALL SELECT 'submissions', sub_id, 'filingdate', filingdate FROM submission
 _ACCEPTED = "SELECT replace(trim(accessionnumber), '-', '') AS tbl, sub_id AS row_id, '' AS fld, acceptancedatetime AS raw FROM submissions WHERE regexp_full_match(replace(trim(accessionnumber), '-', ''), '[0-9]{18}')"
 _NUMBER = r"regexp_replace(regexp_extract(cik, '([0-9]+)', 1), '^0+([0-9])', '\1')"
 SQL = {
-    "p2_found": f"""WITH {_parts_sql(_CELLS)} SELECT tbl, row_id, fld, CASE fld WHEN 'acceptancedatetime' THEN strftime(utc, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' ELSE strftime(day, '%Y-%m-%d') END AS normal
+    "p2_found": f"""WITH {parts_sql(_CELLS)} SELECT tbl, row_id, fld, CASE fld WHEN 'acceptancedatetime' THEN strftime(utc, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' ELSE strftime(day, '%Y-%m-%d') END AS normal
 FROM days WHERE CASE fld WHEN 'acceptancedatetime' THEN utc IS NOT NULL ELSE day IS NOT NULL END""",
-    "p4_found": f"""WITH {_parts_sql(_ACCEPTED)}, acc AS (SELECT tbl AS a, min(utc) AS utc FROM inst WHERE utc IS NOT NULL GROUP BY tbl),
+    "p4_found": f"""WITH {parts_sql(_ACCEPTED)}, acc AS (SELECT tbl AS a, min(utc) AS utc FROM inst WHERE utc IS NOT NULL GROUP BY tbl),
 e AS (SELECT fact_id, {_NUMBER} AS cik, coalesce(utc, filed::TIMESTAMP) AS t FROM facts LEFT JOIN acc ON a = replace(trim(accession), '-', '')),
 v AS (SELECT {_NUMBER} AS cik, version_id, (valid_from AT TIME ZONE 'UTC') AS f, (known_at AT TIME ZONE 'UTC') AS k FROM filer_history)
 SELECT fact_id, arg_max(version_id, (f, k, version_id)) AS version_id FROM e JOIN v ON e.cik = v.cik AND f <= t AND k <= t WHERE t IS NOT NULL GROUP BY fact_id""",

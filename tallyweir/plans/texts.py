@@ -95,7 +95,14 @@ def money_counts(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("text is not null").select("doc_id", F.size(money(F.col("text"))).cast("bigint").alias("n_amounts"))
 
 
-@_query("""SELECT doc_id, strlen(text) AS body_length, strlen(text) > 4194304 AS truncated, md5(text) AS digest FROM documents WHERE text IS NOT NULL AND text <> '' AND strlen(text) <= 4194304""")
+# The byte behind the cut must begin a character; at most three steps back it does.
+_M = 4194304
+_CUT_SQL = " ".join(f"WHEN NOT (b[{_M + 1 - k}:{_M + 1 - k}] >= '\\x80'::BLOB AND b[{_M + 1 - k}:{_M + 1 - k}] < '\\xC0'::BLOB) THEN b[1:{_M - k}]" for k in range(4))
+
+
+@_query(f"""WITH k AS (SELECT doc_id, text, CASE WHEN strlen(text) > {_M} THEN encode(text) END AS b FROM documents WHERE text IS NOT NULL AND text <> ''),
+c AS (SELECT doc_id, text, CASE WHEN b IS NOT NULL THEN CASE {_CUT_SQL} END END AS cut FROM k)
+SELECT doc_id, coalesce(octet_length(cut), strlen(text)) AS body_length, cut IS NOT NULL AS truncated, coalesce(md5(cut), md5(text)) AS digest FROM c""")
 def body_rows(spark: SparkSession, d: str) -> DataFrame:
     """The body of every text; one over 4 MiB is cut between characters and marked."""
     docs = _docs(spark, d).where("text is not null and text <> ''")
