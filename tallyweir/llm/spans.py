@@ -1,18 +1,23 @@
-"""Long exact spans shared between records.
-
-Tokens are content-defined anchors: of the ``ANCHOR`` character k-mers in each
-window of ``SPAN`` characters the one with the least hash. Whoever shares a
-window shares its anchor at the same place, so nothing is missed. Anchors are
-nodes; the edge at a node is the text of all windows that have this anchor, which
-reaches over its neighbours, as a 64-bit hash. Nodes are not linked to their
-successors and paths are not compacted; neighbouring ranges are merged by their
-coordinates when characters are counted.
-
-Nodes met in two or more records are kept. An edge met in two or more records is
-a proven span, whatever its length; where a node has only one edge the path does
-not branch and is done. Only where paths branch are single windows compared, by
-128-bit hashes of their content at their source coordinates: those of edges met
-in one record, and those of the first and last record of the other edges.
+"""Long exact spans shared between records, by de Bruijn compaction.
+
+An edge of the graph is a k-mer of ``SPAN`` characters, its nodes are what it
+shares with its neighbours. Edges are not written one by one: the k-mers of a
+text that have the same minimizer (of the ``ANCHOR``-character pieces in them the
+one with the least hash) follow each other and travel as one piece, cut where the
+minimizer changes. Whoever shares a k-mer shares its minimizer at the same place,
+so nothing is missed.
+
+1. Minimizers met in two or more records are kept. Where all their pieces are
+   equal, the pieces stand for their k-mers; where they differ the graph
+   branches, and there the single k-mers are compared.
+2. A join gives every piece or k-mer its degrees: whether all its occurrences have
+   one successor, and one predecessor. A link is nonbranching if it is the only
+   one on both its sides. Maximal runs of nonbranching links are paths; as a path
+   has the same extent wherever it occurs, its occurrences are read off at their
+   source coordinates, in one sorted pass and without a join per doubling.
+3. The characters at the source coordinates of every path are compared: hashes
+   only propose, characters decide. Should different characters have met under
+   one hash, they are told apart by the characters themselves.
 
 No pair of records is ever formed: each step is an aggregation that keeps the
 least and the greatest record of a key, so a passage in a third of all records
@@ -23,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,7 +42,8 @@ ANCHOR = 100
 SEGMENT = 1 << 13
 
 _SKETCH = pa.schema([("tid", pa.int64()), ("part", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("node", pa.int64()), ("edge", pa.int64())])
-_CLAIMS = pa.schema([("tid", pa.int64()), ("part", pa.int32()), ("lo", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
+_KMERS = pa.schema([("tid", pa.int64()), ("part", pa.int32()), ("lo", pa.int32()), ("id", pa.int64()), ("near", pa.int64())])
+_TEXTS = pa.schema([("path", pa.int64()), ("windows", pa.int32()), ("tid", pa.int64()), ("part", pa.int32()), ("lo", pa.int32()), ("passage", pa.string())])
 
 
 def sketch_text(text: str, span: int = SPAN, k: int = ANCHOR, segment: int = SEGMENT):
@@ -87,8 +93,19 @@ def _sketches(span: int, k: int, segment: int):
     return run
 
 
-def _windows(span: int):
-    """Hashes of all windows whose starts lie in the ranges asked for."""
+def _neighbours(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """32 bits each of the next (high half) and the previous hash (low half) where
+    the neighbour starts one character on; 0 where it doesn't."""
+    half = (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+    beside = np.diff(at) == 1
+    out = np.zeros(len(at), np.uint64)
+    out[:-1] |= np.where(beside, half[1:] << np.uint64(32), np.uint64(0))
+    out[1:] |= np.where(beside, half[:-1], np.uint64(0))
+    return out
+
+
+def _kmers(span: int):
+    """The k-mers, with their neighbours, whose starts lie in the ranges asked for."""
 
     def run(batches):
         for batch in batches:
@@ -97,22 +114,101 @@ def _windows(span: int):
             for i, tid in enumerate(ids):
                 points = code_points(texts[i].as_py())
                 at = np.unique(np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in lists[i].as_py()]))
-                w = np.zeros((2, len(at)), np.int64)
-                for a in range(0, len(points), SEGMENT):  # windows of one segment at a time
+                h = np.zeros(len(at), np.uint64)
+                for a in range(0, len(points), SEGMENT):  # k-mers of one segment at a time
                     x, y = np.searchsorted(at, (a, a + SEGMENT))
-                    for which in (0, 1) if x < y else ():
+                    if x < y:
                         own = at[x:y] - at[x]
-                        w[which, x:y] = Prefix(points[at[x] : at[y - 1] + span], which).spans(own, own + span).view(np.int64)
-                out.append((np.full(len(at), tid), np.full(len(at), marks[i]), at, w[0], w[1]))
+                        h[x:y] = Prefix(points[at[x] : at[y - 1] + span]).spans(own, own + span)
+                out.append((np.full(len(at), tid), np.full(len(at), marks[i]), at.astype(np.int32), h.view(np.int64), _neighbours(h, at).view(np.int64)))
                 held += len(at)
                 if held > 200_000 or i == len(ids) - 1:
-                    t, m, at, w1, w2 = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (t, m, at.astype(np.int32), w1, w2)], schema=_CLAIMS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=_KMERS)
                     out, held = [], 0
 
     return run
 
 
+def _passages(span: int):
+    """The characters of the paths at their source coordinates."""
+
+    def run(batches):
+        for batch in batches:
+            ids, marks, texts, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)
+            rows, held = [], 0
+            for i, tid in enumerate(ids):
+                text = texts[i].as_py()
+                for r in lists[i].as_py():
+                    rows.append((r["path"], r["hi"] - r["lo"] + 1, tid, marks[i], r["lo"], text[r["lo"] : r["hi"] + span]))
+                    held += len(rows[-1][5])
+                    if held > 4_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TEXTS.types, strict=True)], schema=_TEXTS)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TEXTS.types, strict=True)], schema=_TEXTS)
+
+    return run
+
+
+_LOW = 0xFFFFFFFF
+
+
+def _ends() -> list[Column]:
+    return [F.min("tid").alias("t0"), F.max("tid").alias("t1")]
+
+
+def _degrees(pieces: DataFrame) -> DataFrame:
+    """``id, t0, t1, out, inn``: the least and greatest record a piece is met in,
+    and whether all its occurrences have one and the same successor, predecessor."""
+    half = lambda c, high: F.shiftrightunsigned(c, 32) if high else F.col(c).bitwiseAND(F.lit(_LOW))
+    one = lambda high: (half("every", high) == half("some", high)) & (half("every", high) != 0)
+    found = pieces.groupBy("id").agg(*_ends(), F.bit_and("near").alias("every"), F.bit_or("near").alias("some"))
+    return found.select("id", "t0", "t1", one(True).alias("out"), one(False).alias("inn"))
+
+
+def _beside(pieces: DataFrame) -> DataFrame:
+    """``pieces(tid, part, lo, hi, id, ...)``, each once, with ``near`` as the
+    k-mers have it. One sorted pass over each text."""
+    order = W.partitionBy("tid", "part").orderBy("lo")
+    half = lambda c: c.bitwiseAND(F.lit(_LOW)).bitwiseOR(F.lit(1).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    after = F.when(F.lead("lo").over(order) == F.col("hi") + 1, F.shiftleft(half(F.lead("id").over(order)), 32)).otherwise(zero)
+    before = F.when(F.lag("hi").over(order) == F.col("lo") - 1, half(F.lag("id").over(order))).otherwise(zero)
+    return pieces.repartition("tid", "part").dropDuplicates(["tid", "part", "lo"]).withColumn("near", after.bitwiseOR(before))
+
+
+def _paths(pieces: DataFrame) -> DataFrame:
+    """``tid, part, lo, hi, path``: the maximal runs of nonbranching links, named by
+    their first piece, of ``pieces(kind, tid, part, lo, hi, id, out, inn)``."""
+    order = W.partitionBy("tid", "part", "kind").orderBy("lo")
+    linked = (F.lag("hi").over(order) == F.col("lo") - 1) & F.lag("out").over(order) & F.col("inn")
+    begins = F.when(F.coalesce(linked, F.lit(False)), 0).otherwise(1)
+    single = pieces.repartition("tid", "part").dropDuplicates(["tid", "part", "kind", "lo"])
+    runs = single.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    head = F.max(F.when(F.col("begins") == 1, F.col("id"))).alias("path")
+    return runs.groupBy("tid", "part", "kind", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), head).select("tid", "part", "lo", "hi", "path")
+
+
+def _verified(docs: DataFrame, paths: DataFrame, span: int) -> DataFrame:
+    """``tid, part, lo, hi`` of the paths whose characters occur in two or more
+    records. Equal passages are combined before they are shuffled; each passage
+    moves once more only if different characters share a name and extent."""
+    wanted = written(paths.groupBy("tid", "part").agg(F.collect_list(F.struct("lo", "hi", "path")).alias("paths")), "paths")  # no longer than the text
+    held = docs.join(wanted, ["tid", "part"]).select("tid", "part", "text", "paths")
+    passages = written(held.mapInArrow(_passages(span), "path bigint, windows int, tid bigint, part int, lo int, passage string"), "passages")
+    key = ["path", "windows"]
+    distinct = passages.groupBy(*key, "passage").agg(*_ends())
+    named = written(distinct.groupBy(*key).agg(F.count(F.lit(1)).alias("texts"), F.min("t0").alias("t0"), F.max("t1").alias("t1")), "named")
+    place = ["tid", "part", "lo", (F.col("lo") + F.col("windows") - 1).alias("hi")]
+    sure = passages.drop("passage").join(named.where("texts = 1 and t0 < t1"), key, "left_semi").select(*place)
+    mixed = named.where("texts > 1").select(*key)
+    if mixed.isEmpty():
+        return sure
+    again = passages.join(mixed, key, "left_semi")
+    apart = again.join(again.groupBy(*key, "passage").agg(*_ends()).where("t0 < t1").drop("t0", "t1"), [*key, "passage"], "left_semi")
+    return sure.unionByName(apart.select(*place))
+
+
 def shared_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, k: int = ANCHOR, segment: int = SEGMENT) -> DataFrame:
     """``tid, part, lo, hi``: ranges of starts of ``span``-character windows that
     occur in at least one other record. ``part`` tells apart the texts of an id.
@@ -126,21 +222,20 @@ def shared_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
         F.col("tid").isNotNull() & (F.length("text") >= span)
     )
     sketch = written(spread(docs, "tid").mapInArrow(_sketches(span, k, segment), "tid bigint, part int, lo int, hi int, node bigint, edge bigint"), "sketch")
-    ends = [F.min("tid").alias("t0"), F.max("tid").alias("t1")]
     nodes = (
-        sketch.groupBy("node").agg(*ends, F.min("edge").alias("e0"), F.max("edge").alias("e1")).where("t0 < t1")
+        sketch.groupBy("node").agg(*_ends(), F.min("edge").alias("e0"), F.max("edge").alias("e1")).where("t0 < t1")
         .select("node", F.expr("e0 <> e1").alias("branches"))
     )
-    met = written(sketch.join(nodes, "node"), "met")
-    edges = met.groupBy("node", "edge").agg(*ends)
-    seen = met.join(edges, ["node", "edge"])
+    met = written(_beside(sketch.join(nodes, "node").withColumnRenamed("edge", "id").drop("node")), "met")
+    seen = met.join(_degrees(met), "id")
     asked = seen.where("branches and (t0 = t1 or tid = t0 or tid = t1)")
-    ranges = F.collect_list(F.struct("lo", "hi")).alias("ranges")  # no longer than the text
-    held = docs.join(asked.groupBy("tid", "part").agg(ranges), ["tid", "part"]).select("tid", "part", "text", "ranges")
-    single = written(held.mapInArrow(_windows(span), "tid bigint, part int, lo int, w1 bigint, w2 bigint"), "windows")
-    common = single.groupBy("w1", "w2").agg(*ends).where("t0 < t1").select("w1", "w2")
-    shared = single.join(common, ["w1", "w2"], "left_semi").select("tid", "part", "lo", F.col("lo").alias("hi"))
-    return seen.where("t0 < t1").select("tid", "part", "lo", "hi").unionByName(shared)
+    ranges = written(asked.groupBy("tid", "part").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")  # no longer than the text
+    held = docs.join(ranges, ["tid", "part"]).select("tid", "part", "text", "ranges")
+    kmers = written(held.mapInArrow(_kmers(span), "tid bigint, part int, lo int, id bigint, near bigint"), "kmers")
+    single = kmers.drop("near").join(_degrees(kmers).where("t0 < t1"), "id").withColumn("hi", F.col("lo"))
+    columns = ["tid", "part", "lo", "hi", "id", "out", "inn"]
+    pieces = seen.where("t0 < t1").select(F.lit(0).alias("kind"), *columns).unionByName(single.select(F.lit(1).alias("kind"), *columns))
+    return _verified(docs, _paths(pieces), span)
 
 
 def shared_characters(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, k: int = ANCHOR) -> DataFrame:
