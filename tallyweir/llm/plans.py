@@ -53,4 +53,11 @@ k AS (SELECT fact_id, regexp_replace(regexp_extract(cik, '([0-9]+)', 1), '^0+([0
   regexp_replace(lower(regexp_replace(unit, '^\s+|\s+$', '', 'g')), '^iso4217:', '') AS unit, lower(trim(context_id)) AS context, val, filed, end_date,
   replace(regexp_replace(accession, '^\s+|\s+$', '', 'g'), '-', '') AS a, coalesce(t, 0) AS t FROM facts LEFT JOIN o USING (origin))
 SELECT min(fact_id) AS group_id, {_PICKS} FROM k WHERE cik <> '' AND tag IS NOT NULL AND unit IS NOT NULL AND context IS NOT NULL GROUP BY cik, tag, unit, context HAVING count(*) > 1""",
+    # All windows of 240 characters, compared as they are; texts are read in pages.
+    "p8_found": """WITH p AS (SELECT doc_id, k * 2000 AS base, substring(text, k * 2000 + 1, 2239) AS page FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 1760) // 2000)) AS k FROM documents WHERE length(text) >= 240)),
+w AS (SELECT doc_id, base + i AS lo, substring(page, i, 240) AS passage FROM (SELECT doc_id, base, page, unnest(range(1, length(page) - 238)) AS i FROM p)),
+c AS (SELECT passage FROM w GROUP BY passage HAVING min(doc_id) < max(doc_id)),
+s AS (SELECT DISTINCT doc_id, lo FROM w SEMI JOIN c USING (passage)),
+n AS (SELECT doc_id, least(240, lo - coalesce(lag(lo) OVER (PARTITION BY doc_id ORDER BY lo), lo - 240)) AS fresh FROM s)
+SELECT doc_id, sum(fresh)::BIGINT AS shared_chars FROM n GROUP BY doc_id""",
 }

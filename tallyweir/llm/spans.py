@@ -37,20 +37,40 @@ from tallyweir.session import spread, written
 
 SPAN = 240
 ANCHOR = 100
-#: Window starts of a text handled at a time; bounds memory for texts of any length (the search for the least
-#: hash copies SPAN - ANCHOR hashes for each).
+#: Window starts of a text handled at a time; bounds memory for texts of any length.
 SEGMENT = 1 << 13
+#: Bits of a hash that give way to a place within a segment; hashes are compared by the others.
+PLACE_BITS = 20
 
 _SKETCH = pa.schema([("tid", pa.int64()), ("part", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("node", pa.int64()), ("edge", pa.int64())])
 _KMERS = pa.schema([("tid", pa.int64()), ("part", pa.int32()), ("lo", pa.int32()), ("id", pa.int64()), ("near", pa.int64())])
 _TEXTS = pa.schema([("path", pa.int64()), ("windows", pa.int32()), ("tid", pa.int64()), ("part", pa.int32()), ("lo", pa.int32()), ("passage", pa.string())])
 
 
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """Where the least hash of each window of ``width`` lies, the leftmost of equals.
+
+    The low bits of the hashes give way to the place, and minima of windows of
+    doubled width are taken until two of them cover one of ``width``.
+    """
+    bits = np.uint64(PLACE_BITS)  # the same for all texts, or equal windows could pick differently
+    m = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
+    have = 1
+    while 2 * have <= width:
+        m = np.minimum(m[:-have], m[have:])
+        have *= 2
+    if have < width:
+        m = np.minimum(m[: len(m) - (width - have)], m[width - have :])
+    return (m & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
 def sketch_text(text: str, span: int = SPAN, k: int = ANCHOR, segment: int = SEGMENT):
     """Anchors of one text: the window starts [lo, hi] each one is the anchor of,
     node hashes and edge hashes. An anchor on both sides of a cut between segments
     is split at the cut's window only if the text is longer than a segment; its
     parts are joined again."""
+    if segment + span > 1 << PLACE_BITS:
+        raise ValueError("segments are too long for their places")
     points = code_points(text)
     starts, width = len(points) - span + 1, span - k + 1
     out: list[list[np.ndarray]] = []
@@ -58,8 +78,7 @@ def sketch_text(text: str, span: int = SPAN, k: int = ANCHOR, segment: int = SEG
         b = min(a + segment, starts)
         part = Prefix(points[a : b + 2 * span])
         h = part.windows(k)
-        picks = np.lib.stride_tricks.sliding_window_view(h[: b - a + width - 1], width).argmin(axis=1)
-        picks += np.arange(len(picks))
+        picks = _least(h[: b - a + width - 1], width)
         first = np.flatnonzero(np.diff(picks, prepend=-1))
         p, last = picks[first], np.append(first[1:], len(picks)) - 1
         got = [p + a, first + a, last + a, h[p], part.spans(first, last + span)]

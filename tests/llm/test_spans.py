@@ -72,3 +72,42 @@ def test_a_passage_in_every_record(spark):
     docs = [(i, f"{own(100)}#{i}#{boiler}#{i}#{own(50)}") for i in range(300)]
     got = {r.doc_id: r.shared_chars for r in shared_characters(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert len(got) == 300 and got == brute(docs, 240)
+
+
+@pytest.mark.parametrize("length", [120, 240, 1000])
+def test_planted_spans_are_all_found(spark, length):
+    """Recall and precision at several least lengths: planted passages of just that
+    length are found whole, those one character shorter are not."""
+    rng = random.Random(length)
+    own = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    docs, want = [], {}
+    for i in range(0, 80, 2):
+        n = length - 1 if i % 8 == 0 else length + rng.randrange(0, 300)
+        passage = own(n)
+        for j in (i, i + 1):
+            docs.append((j, own(rng.randrange(5, 900)) + chr(0x4E00 + j) + passage + chr(0x4E00 + j) + own(rng.randrange(5, 900))))
+            if n >= length:
+                want[j] = n
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: r.shared_chars for r in shared_characters(df, span=length, k=min(100, length // 2)).collect()}
+    assert got == want
+
+
+def test_characters_decide_where_hashes_agree(spark):
+    """Different passages under one name and extent are told apart by their characters."""
+    from tallyweir.llm.spans import _verified
+
+    a, b, c = "a" * 40, "b" * 40, "c" * 40
+    docs = spark.createDataFrame([(1, 0, a), (2, 0, b), (3, 0, b), (4, 0, c), (5, 0, c)], "tid bigint, part int, text string")
+    paths = spark.createDataFrame([(1, 0, 0, 10, 7), (2, 0, 0, 10, 7), (3, 0, 0, 10, 7), (4, 0, 0, 10, 8), (5, 0, 0, 10, 8)], "tid bigint, part int, lo int, hi int, path bigint")
+    assert sorted(r.tid for r in _verified(docs, paths, 30).collect()) == [2, 3, 4, 5]
+
+
+def test_paths_compact_to_few_runs(spark):
+    """A text that occurs twice is one path, however many k-mers it has."""
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefghij klmnop") for _ in range(5000))
+    from tallyweir.llm.spans import shared_spans
+
+    runs = shared_spans(spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string")).collect()
+    assert sorted((r.tid, r.lo, r.hi) for r in runs) == [(1, 0, 4760), (2, 0, 4760)]
