@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyweir.llm.fusion import best_sources, source_quality, true_values
-from tallyweir.llm.packing import containers
+from tallyweir.llm.packing import containers, packing_quality
 from tallyweir.llm.spans import shared_characters
 from tallyweir.llm.tokenizer import encoded
 from tallyweir.sources.tables import table
@@ -27,6 +27,10 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return containers(table(spark, d, "documents"))
 
 
+def p7_quality(spark: SparkSession, d: str) -> DataFrame:
+    return packing_quality(table(spark, d, "documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_characters(table(spark, d, "documents"))
 
@@ -37,6 +41,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_quality": p1_quality, "p1_values": p1_values, "p6_ids": p6_ids, "p7_containers": p7_containers,
+    "p7_quality": p7_quality,
     "p8_found": p8_found,
 }
 _USABLE = {
