@@ -1,9 +1,11 @@
 """Deeply nested records into related flat tables.
 
-Each record is parsed once into triples: the path down to a value (taken apart
-at the repeated ancestors: taxonomy, tag, unit, fact position, prior position),
-the ordinals on that path, and the value. Triples are grouped by ancestor and
-each group is pivoted into one table whose rows name their parent. The pivot is
+Each record is read once, as a stream: objects are followed name by name, and the
+elements of an array are decoded one at a time. What is read comes out as triples:
+the path down to a value (taken apart at its repeated ancestors), the ordinals on
+that path, and the value. A shape says where ancestors repeat: under names that are
+data, such as taxonomies, or in arrays. Triples are grouped by repeated ancestor
+and each group is pivoted into one table whose rows name their parent. The pivot is
 a partial aggregation, so only one row per object is shuffled, and a record that
 holds a third of all facts spreads over all tasks after the parse.
 """
@@ -26,7 +28,13 @@ PRIOR_MEMBERS = ("val", "filed", "accession")
 CONCEPT_MEMBERS = ("label", "description")
 
 LEVELS = ("concept", "unit", "fact", "prior")
-TRIPLES = "record_id bigint, level string, taxonomy string, tag string, unit string, fact_pos bigint, prior_pos bigint, member string, value string"
+TRIPLES = "record_id bigint, copy bigint, level string, taxonomy string, tag string, unit string, fact_pos bigint, prior_pos bigint, member string, value string"
+
+#: The shape of company facts: a ``key`` step repeats under names that are data, an
+#: ``items`` step in an array, a ``member`` step leads on. The n-th repeated step is
+#: the n-th part of a path, and what stands there belongs to the n-th level.
+SHAPE = (("key", "taxonomy"), ("key", "tag"), ("member", "units"), ("key", "unit"), ("items", "fact_pos"), ("member", "prior_values"), ("items", "prior_pos"))
+_LEVEL_AT = (None, None, *LEVELS)
 #: Rows in one Arrow batch that leaves the parser.
 _BATCH = 20_000
 
@@ -35,15 +43,22 @@ def _refuse(token: str):
     raise ValueError(token)
 
 
+class Number(str):
+    """A number as it is written: no digit is lost, and none is too many."""
+
+    __slots__ = ()
+
+
 _DECODER = json.JSONDecoder(parse_constant=_refuse)
+_AS_WRITTEN = json.JSONDecoder(parse_constant=_refuse, parse_float=Number, parse_int=Number).scan_once
 _TOKEN = re.compile(
     r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w.+-])|(true|false|null)(?!\w))'
 )
 
 
-def _parse_deep(text: str):
+def _parse_deep(text: str, number=json.loads):
     """The same as the decoder, with a stack of its own: no text is too deep."""
-    pos, stack, root = 0, [], []
+    pos, stack, root, number_of = 0, [], [], number
     expect, place = "value", root
     key = None
 
@@ -72,7 +87,7 @@ def _parse_deep(text: str):
             place, key = stack.pop()
             expect = "next" if stack else "end"
         elif expect in ("value", "first") and mark is None:
-            put(json.loads(string) if string else {"true": True, "false": False, "null": None}[word] if word else json.loads(number))
+            put(json.loads(string) if string else {"true": True, "false": False, "null": None}[word] if word else number_of(number))
             expect = "next" if stack else "end"
         elif expect in ("key1", "key") and string:
             key, expect = json.loads(string), "colon"
@@ -103,62 +118,178 @@ def parse_record(text: str | None):
         return None
 
 
-def _objects(x) -> Iterator[tuple[int, dict]]:
-    """Objects of an array with their positions; an object is its only element."""
+def _dump(x) -> str:
+    """JSON of a decoded value, with numbers as they were written."""
+    if isinstance(x, Number):
+        return x
     if isinstance(x, dict):
-        yield 0, x
-    elif isinstance(x, list):
-        for i, y in enumerate(x):
-            if isinstance(y, dict):
-                yield i, y
+        return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {_dump(v)}" for k, v in x.items()) + "}"
+    if isinstance(x, list):
+        return "[" + ", ".join(map(_dump, x)) + "]"
+    return json.dumps(x, ensure_ascii=False)
 
 
 def _scalar(x) -> str | None:
     if x is None or isinstance(x, str):
         return x
     try:
-        return json.dumps(x, ensure_ascii=False)
+        return _dump(x)
     except RecursionError:
         return None
 
 
+_BLANKS = re.compile(r"[ \t\n\r]*")
+
+
+class _Stream:
+    """Reads one text from front to back and notes the triples of the levels asked for.
+
+    A text can prove not to be JSON at its very end, so triples count only when
+    ``read`` has returned. Of members that repeat a name the last counts: what an
+    earlier one left is struck out.
+    """
+
+    def __init__(self, levels: frozenset[str], members: bool):
+        self.levels, self.members, self.out = levels, members, []
+
+    def read(self, text: str | None) -> list[tuple]:
+        self.out, self.text = [], text or ""
+        try:
+            end = self._take(self._skip(0), 0, ())
+            if self._skip(end) != len(self.text):
+                return []
+        except (ValueError, StopIteration, IndexError):
+            return []
+        except RecursionError:
+            self.out = []
+            try:
+                self._take_value(_parse_deep(self.text, Number), 0, ())
+            except ValueError:
+                return []
+        return [t for t in self.out if t is not None]
+
+    def _skip(self, at: int) -> int:
+        return _BLANKS.match(self.text, at).end()
+
+    def _named(self, at: int):
+        """(name, where its value begins) of each member of the object at ``at``;
+        the end of the value is sent back, and the end of the object comes last."""
+        text = self.text
+        at = self._skip(at + 1)
+        if text[at] == "}":
+            yield None, at + 1
+            return
+        while True:
+            if text[at] != '"':
+                raise ValueError("no name")
+            name, at = json.decoder.scanstring(text, at + 1, True)
+            at = self._skip(at)
+            if text[at] != ":":
+                raise ValueError("no colon")
+            at = self._skip((yield name, self._skip(at + 1)))
+            if text[at] == "}":
+                yield None, at + 1
+                return
+            if text[at] != ",":
+                raise ValueError("no comma")
+            at = self._skip(at + 1)
+
+    def _follow(self, at: int, inside) -> int:
+        """Through the object at ``at``: ``inside(name, at)`` reads a value and returns its end."""
+        noted: dict[str, tuple[int, int]] = {}
+        walk = self._named(at)
+        name, at = next(walk)
+        while name is not None:
+            a, b = noted.get(name, (0, 0))
+            self.out[a:b] = [None] * (b - a)
+            a = len(self.out)
+            end = inside(name, at)
+            noted[name] = (a, len(self.out))
+            name, at = walk.send(end)
+        return at
+
+    def _take(self, at: int, s: int, path: tuple) -> int:
+        """The value at ``at`` that step ``s`` applies to; returns its end."""
+        kind, mark = SHAPE[s][0], self.text[at]
+        if kind == "key" and mark == "{":
+            return self._follow(at, lambda name, at: self._enter(at, s + 1, (*path, name)))
+        if kind == "items" and mark == "[":
+            at, i = self._skip(at + 1), 0
+            if self.text[at] == "]":
+                return at + 1
+            while True:
+                value, at = _AS_WRITTEN(self.text, at)
+                self._enter_value(value, s + 1, (*path, i))
+                at, i = self._skip(at), i + 1
+                if self.text[at] == "]":
+                    return at + 1
+                if self.text[at] != ",":
+                    raise ValueError("no comma")
+                at = self._skip(at + 1)
+        value, at = _AS_WRITTEN(self.text, at)
+        self._take_value(value, s, path)
+        return at
+
+    def _enter(self, at: int, s: int, path: tuple) -> int:
+        """The value at ``at`` that a name on the path leads to; returns its end."""
+        kind = SHAPE[s][0]
+        if kind == "member" and self.text[at] == "{":
+            self._note(path, None, None)
+
+            def inside(name: str, at: int) -> int:
+                if name == SHAPE[s][1]:
+                    return self._take(at, s + 1, path)
+                value, at = _AS_WRITTEN(self.text, at)
+                self._note(path, name, value)
+                return at
+
+            return self._follow(at, inside)
+        if kind == "member":
+            value, at = _AS_WRITTEN(self.text, at)
+            return at
+        if kind == "items":
+            self._note(path, None, None)
+        return self._take(at, s, path)
+
+    def _take_value(self, value, s: int, path: tuple) -> None:
+        """The same as ``_take`` for a value that is decoded already. An object in
+        place of an array is its only element."""
+        if SHAPE[s][0] == "key":
+            for name, x in value.items() if isinstance(value, dict) else ():
+                self._enter_value(x, s + 1, (*path, name))
+        else:
+            for i, x in enumerate(value if isinstance(value, list) else [value]):
+                self._enter_value(x, s + 1, (*path, i))
+
+    def _enter_value(self, value, s: int, path: tuple) -> None:
+        kind, leads = SHAPE[s] if s < len(SHAPE) else ("member", None)
+        if kind != "member":
+            if kind == "items":
+                self._note(path, None, None)
+            self._take_value(value, s, path)
+        elif isinstance(value, dict):
+            self._note(path, None, None)
+            for name, x in value.items():
+                if name == leads:
+                    self._take_value(x, s + 1, path)
+                else:
+                    self._note(path, name, x)
+
+    def _note(self, path: tuple, member: str | None, value) -> None:
+        level = _LEVEL_AT[len(path)]
+        if level in self.levels and (member is None or self.members):
+            names = (*path[:3], None, None)[:3]
+            self.out.append((level, *names, *(*path[3:], -1, -1)[:2], member, _scalar(value)))
+
+
 def triples_of(text: str | None, levels: frozenset[str], members: bool) -> Iterator[tuple]:
     """Triples of one record, in document order: for each object one that says it
-    exists (member None) and, if asked for, one per member of its level."""
-    root = parse_record(text)
-    if not isinstance(root, dict):
-        return
-    for taxonomy, concepts in root.items():
-        if not isinstance(concepts, dict):
-            continue
-        for tag, concept in concepts.items():
-            if not isinstance(concept, dict):
-                continue
-            if "concept" in levels:
-                yield "concept", taxonomy, tag, None, -1, -1, None, None
-                for m in CONCEPT_MEMBERS if members else ():
-                    if m in concept:
-                        yield "concept", taxonomy, tag, None, -1, -1, m, _scalar(concept[m])
-            units = concept.get("units")
-            for unit, facts in units.items() if isinstance(units, dict) else ():
-                if "unit" in levels:
-                    yield "unit", taxonomy, tag, unit, -1, -1, None, None
-                for i, fact in _objects(facts):
-                    if "fact" in levels:
-                        yield "fact", taxonomy, tag, unit, i, -1, None, None
-                        for m in FACT_MEMBERS if members else ():
-                            if m in fact:
-                                yield "fact", taxonomy, tag, unit, i, -1, m, _scalar(fact[m])
-                    if "prior" in levels:
-                        for j, prior in _objects(fact.get("prior_values")):
-                            yield "prior", taxonomy, tag, unit, i, j, None, None
-                            for m in PRIOR_MEMBERS if members else ():
-                                if m in prior:
-                                    yield "prior", taxonomy, tag, unit, i, j, m, _scalar(prior[m])
+    exists (member None) and, if asked for, one per member that leads to no other level."""
+    return iter(_Stream(levels, members).read(text))
 
 
 _ARROW = pa.schema(
-    [("record_id", pa.int64()), ("level", pa.string()), ("taxonomy", pa.string()), ("tag", pa.string()), ("unit", pa.string())]
+    [("record_id", pa.int64()), ("copy", pa.int64()), ("level", pa.string()), ("taxonomy", pa.string()), ("tag", pa.string()), ("unit", pa.string())]
     + [("fact_pos", pa.int64()), ("prior_pos", pa.int64()), ("member", pa.string()), ("value", pa.string())]
 )
 
@@ -170,41 +301,43 @@ def _text(x: str | None) -> str | None:
     return x.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _table(ids: list, rows: list[tuple]) -> pa.RecordBatch:
+def _table(ids: list, copies: list, rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-    texts = [[_text(x) for x in cols[k]] if k in (1, 2, 3, 7) else cols[k] for k in range(8)]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([ids, *texts], _ARROW.types, strict=True)], schema=_ARROW)
+    texts = [[_text(x) for x in cols[k]] if k in (1, 2, 3, 6, 7) else cols[k] for k in range(8)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([ids, copies, *texts], _ARROW.types, strict=True)], schema=_ARROW)
 
 
 def triples(records: DataFrame, record_id: str = "record_id", text: str = "facts", levels: tuple[str, ...] = LEVELS, members: bool = True) -> DataFrame:
     """Path–value–ordinal triples of ``records``; only ``record_id`` and ``text``
     are read. Records without id, and texts that are null, empty or not
-    well-formed as a whole, hold no triple."""
+    well-formed as a whole, hold no triple. ``copy`` tells apart the texts of an id."""
     wanted = frozenset(levels)
 
     def parse(batches):
+        stream = _Stream(wanted, members)
         for batch in batches:
-            ids, rows = [], []
-            texts = batch.column(1)
-            for k, record in enumerate(batch.column(0).to_pylist()):
-                for row in triples_of(texts[k].as_py(), wanted, members):
-                    ids.append(record)
-                    rows.append(row)
+            ids, copies, rows = [], [], []
+            texts = batch.column(2)
+            for k, (record, copy) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                found = stream.read(texts[k].as_py())
+                for a in range(0, len(found), _BATCH):
+                    part = found[a : a + _BATCH]
+                    rows += part
+                    ids += [record] * len(part)
+                    copies += [copy] * len(part)
                     if len(rows) >= _BATCH:
-                        yield _table(ids, rows)
-                        ids, rows = [], []
+                        yield _table(ids, copies, rows)
+                        ids, copies, rows = [], [], []
             if rows:
-                yield _table(ids, rows)
+                yield _table(ids, copies, rows)
 
-    plain = records.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(text).cast("string").alias("text")).where("record_id is not null and text is not null")
+    body = F.col(text).cast("string")
+    plain = records.select(F.col(record_id).cast("bigint").alias("record_id"), F.xxhash64(body).alias("copy"), body.alias("text")).where("record_id is not null and text is not null")
     return spread(plain, "record_id").mapInArrow(parse, TRIPLES)
 
 
 _PATHS = {
-    "concept": ["record_id", "taxonomy", "tag"],
-    "unit": ["record_id", "taxonomy", "tag", "unit"],
-    "fact": ["record_id", "taxonomy", "tag", "unit", "fact_pos"],
-    "prior": ["record_id", "taxonomy", "tag", "unit", "fact_pos", "prior_pos"],
+    level: ["record_id", *[name for kind, name in SHAPE if kind != "member"][: _LEVEL_AT.index(level)]] for level in LEVELS
 }
 _MEMBERS = {"concept": CONCEPT_MEMBERS, "unit": (), "fact": FACT_MEMBERS, "prior": PRIOR_MEMBERS}
 
@@ -215,28 +348,39 @@ def pivot_level(rows: DataFrame, level: str) -> DataFrame:
     The path without its last part is the path of the parent's row.
     """
     picks = [F.max(F.when(F.col("member") == m, F.col("value"))).alias(m) for m in _MEMBERS[level]]
-    grouped = rows.where(F.col("level") == level).groupBy(*_PATHS[level])
-    return grouped.agg(*picks) if picks else rows.where(F.col("level") == level).select(*_PATHS[level]).distinct()
+    keys = [*_PATHS[level], "copy"]
+    own = rows.where(F.col("level") == level)
+    return (own.groupBy(*keys).agg(*picks) if picks else own.select(*keys).distinct()).drop("copy")
 
 
-def flat_tables(records: DataFrame) -> dict[str, DataFrame]:
-    """``filers, concepts, units, facts, priors`` of company-facts records.
+def flat_tables(records: DataFrame, levels: tuple[str, ...] = LEVELS) -> dict[str, DataFrame]:
+    """``filers`` and, of the levels asked for, ``concepts, units, facts, priors`` of
+    company-facts records, and ``members``.
 
     Filers come from the columns beside the text, one row per record, also where
-    the text is unreadable. Members are text as written in the JSON; numbers keep
-    their notation as Python prints them; nested members of no level are left
-    out; a missing and a null member are both NULL.
+    the text is unreadable. Members are text as written in the JSON, numbers with
+    every digit; a missing and a null member are both NULL. ``members`` are those
+    of an object that are no column of its table, with the path of the object.
+    A row that repeats an id and its text adds nothing; another text of an id
+    keeps rows of its own.
     """
-    path = fresh_path(records.sparkSession, "triples")
-    triples(records).write.partitionBy("level").parquet(path)  # each record is parsed once
-    kept = records.sparkSession.read.schema(TRIPLES).parquet(path)
+    kept = triples(records, levels=levels)
+    if len(levels) > 1:  # each record is parsed once
+        path = fresh_path(records.sparkSession, "triples")
+        kept.write.partitionBy("level").parquet(path)
+        kept = records.sparkSession.read.schema(TRIPLES).parquet(path)
+    column = F.lit(False)
+    for level in levels:
+        column = column | ((F.col("level") == level) & F.col("member").isin(*_MEMBERS[level]))
     return {
         "filers": records.select(F.col("record_id").cast("bigint").alias("record_id"), "cik", "entityname"),
-        **{f"{level}s": pivot_level(kept, level) for level in LEVELS},
+        **{f"{level}s": pivot_level(kept, level) for level in levels},
+        "members": kept.where(F.col("member").isNotNull() & ~column).drop("copy"),
     }
 
 
 def fact_paths(records: DataFrame) -> DataFrame:
-    """The paths of all fact objects (``prior_pos`` -1) and prior-value objects."""
-    found = triples(records, levels=("fact", "prior"), members=False)
-    return found.select(*_PATHS["prior"]).distinct()
+    """The rows of the tables of facts (``prior_pos`` -1) and prior values, by their paths."""
+    tables = flat_tables(records, ("fact", "prior"))
+    facts = tables["facts"].select(*_PATHS["fact"], F.lit(-1).cast("bigint").alias("prior_pos"))
+    return facts.unionByName(tables["priors"].select(*_PATHS["prior"]))

@@ -29,15 +29,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_concepts(spark: SparkSession, d: str) -> DataFrame:
-    return flat_tables(table(spark, d, "companyfacts"))["concepts"]
+    return flat_tables(table(spark, d, "companyfacts"), ("concept",))["concepts"]
 
 
 def p5_facts(spark: SparkSession, d: str) -> DataFrame:
-    return flat_tables(table(spark, d, "companyfacts"))["facts"]
+    return flat_tables(table(spark, d, "companyfacts"), ("fact",))["facts"]
 
 
 def p5_priors(spark: SparkSession, d: str) -> DataFrame:
-    return flat_tables(table(spark, d, "companyfacts"))["priors"]
+    return flat_tables(table(spark, d, "companyfacts"), ("prior",))["priors"]
 
 
 QUERIES = {
