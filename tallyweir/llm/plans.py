@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweir.llm.fusion import best_sources, source_quality, true_values
+from tallyweir.llm.fusion import best_records, best_sources, source_quality, true_values
 from tallyweir.llm.packing import containers, packing_quality
 from tallyweir.llm.spans import shared_characters
 from tallyweir.llm.tokenizer import encoded
@@ -23,6 +23,10 @@ def p1_values(spark: SparkSession, d: str) -> DataFrame:
     return true_values(table(spark, d, "facts"), table(spark, d, "fact_origins"))
 
 
+def p1_records(spark: SparkSession, d: str) -> DataFrame:
+    return best_records(table(spark, d, "facts"), table(spark, d, "fact_origins"))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return containers(table(spark, d, "documents"))
 
@@ -40,7 +44,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_quality": p1_quality, "p1_values": p1_values, "p6_ids": p6_ids, "p7_containers": p7_containers,
+    "p1_found": p1_found, "p1_quality": p1_quality, "p1_values": p1_values, "p1_records": p1_records, "p6_ids": p6_ids, "p7_containers": p7_containers,
     "p7_quality": p7_quality,
     "p8_found": p8_found,
 }
