@@ -3,9 +3,12 @@
 Per micro-batch the job looks identifiers up in a keyed state table of those
 seen lately; what it does not know it looks up in the archive of identifiers
 that the event-time watermark has expired, so a late arrival is recognised
-whatever its age. State, archive and output of a batch lie under its number and
-count only once its commit file is there: they become visible together, and a
-batch that is run again after a loss overwrites its own part.
+whatever its age. The archive is sorted by a part of the identifier, and only the
+parts a batch names are read: the others are skipped by their statistics. A batch writes what it has seen and no more;
+every ``COMPACT`` batches the state is rewritten without what has expired. State,
+archive and output of a batch lie under its number and count only once its commit
+file is there: they become visible together, and a batch that is run again after a
+loss overwrites its own part.
 
 Spark's own deduplicating operators drop rows behind the watermark; a late first
 delivery would be lost. Hence the state is a table of its own.
@@ -22,12 +25,16 @@ from tallyweir.session import fresh_path, require_utc
 
 #: Identifiers leave the state when the newest event is this much later.
 HORIZON_SECONDS = 30 * 86_400
-#: A stream is read in about so many micro-batches, and none is smaller than this.
-BATCHES, LEAST_BYTES = 4, 4 << 20
+#: Bytes of files in one micro-batch, whatever lies in the folder; a file is never split.
+BATCH_BYTES = 4 << 20
+#: Batches after which the state is rewritten.
+COMPACT = 16
 
 _SEEN = "acc string, cik string, first_id bigint, at timestamp"
 _COPIES = "acc string, cik string, first_id bigint, copy_id bigint"
-_MOVED = "acc string, cik string, old_id bigint"
+_MET = _SEEN + ", old_id bigint"
+#: The year digits of an accession of 18, by which the archive is laid out.
+_SLOT = "case when length(acc) = 18 then substring(acc, 11, 2) else 'xx' end"
 
 
 def deliveries(feed: DataFrame) -> DataFrame:
@@ -67,22 +74,23 @@ class DeliveryLog:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[self._at(table, b) for b in batches])
 
-    def _watermark(self) -> int | None:
-        """Seconds; the newest event of the committed batches less the horizon."""
+    def _last(self) -> tuple[int | None, int]:
+        """Watermark in seconds (the newest event of the committed batches less the
+        horizon), and the batch that last rewrote the state."""
         done = self.committed()
         if not done:
-            return None
+            return None, 0
         stream = self._fs.open(self._path(f"{self.root}/commits/{done[-1]:09d}"))
         try:
-            text = stream.readUTF()
+            mark, base = stream.readUTF().split(" ")
         finally:
             stream.close()
-        return int(text) if text else None
+        return int(mark) if mark else None, int(base)
 
-    def _commit(self, batch: int, watermark: int | None) -> None:
+    def _commit(self, batch: int, watermark: int | None, base: int) -> None:
         hidden, final = self._path(f"{self.root}/.{batch:09d}"), self._path(f"{self.root}/commits/{batch:09d}")
         out = self._fs.create(hidden, True)
-        out.writeUTF("" if watermark is None else str(watermark))
+        out.writeUTF(f"{'' if watermark is None else watermark} {base}")
         out.close()
         self._fs.mkdirs(final.getParent())
         self._fs.rename(hidden, final)
@@ -92,31 +100,34 @@ class DeliveryLog:
         done = self.committed()
         if batch in done:
             return
-        old_mark = self._watermark()
+        old_mark, base = self._last()
         deliveries(rows).write.mode("overwrite").parquet(self._at("input", batch))
         given = self.spark.read.schema("acc string, cik string, delivery_id bigint, at timestamp").parquet(self._at("input", batch))
         keys = ["acc", "cik"]
         incoming = given.groupBy(*keys).agg(F.min("delivery_id").alias("new_id"), F.max("at").alias("new_at"))
-        state = self._read("state", _SEEN, done[-1:])
-        archive = self._read("archive", _SEEN, done).groupBy(*keys).agg(F.min("first_id").alias("late_id"))
-        # One full join keeps what is only in the state; the archive is asked for the unknown keys only.
-        met = incoming.join(state, keys, "full")
-        unknown = met.where("first_id is null").join(archive, keys, "left")
-        known = met.where("first_id is not null").withColumn("late_id", F.lit(None).cast("bigint"))
-        before = F.coalesce("first_id", "late_id")
-        seen = known.unionByName(unknown).select(*keys, F.least(before, "new_id").alias("first_id"), before.alias("old_id"), F.greatest("at", "new_at").alias("at"), "new_id")
-        seen.write.mode("overwrite").parquet(self._at("seen", batch))
-        seen = self.spark.read.schema(_SEEN + ", old_id bigint, new_id bigint").parquet(self._at("seen", batch))
+        state = self._read("state", _SEEN, [b for b in done if b >= base]).groupBy(*keys).agg(F.min("first_id").alias("first_id"), F.max("at").alias("at"))
+        met = incoming.join(state, keys, "left") if done else incoming.withColumns({"first_id": F.lit(None).cast("bigint"), "at": F.lit(None).cast("timestamp")})
+        if done:
+            # The archive is asked for the unknown identifiers only, in the parts they can lie in.
+            slots = [r[0] for r in given.select(F.expr(_SLOT)).distinct().collect()]  # a hundred and one at most
+            archive = self._read("archive", _SEEN + ", slot string", done).where(F.col("slot").isin(*slots)).select(*keys, F.col("first_id").alias("late_id"))
+            late = met.where("first_id is null").drop("first_id").join(archive, keys, "left").groupBy(*keys).agg(
+                F.first("new_id").alias("new_id"), F.first("new_at").alias("new_at"), F.min("late_id").alias("first_id"), F.first("at").alias("at")
+            )
+            met = met.where("first_id is not null").unionByName(late)
+        first = F.least("first_id", "new_id")
+        met.select(*keys, first.alias("first_id"), F.greatest("at", "new_at").alias("at"), F.col("first_id").alias("old_id")).write.mode("overwrite").parquet(self._at("seen", batch))
+        seen = self._read("seen", _MET, [batch])
         newest = seen.agg(F.max(F.unix_seconds("at"))).first()[0]
         mark = max([x for x in (old_mark, newest - self.horizon if newest is not None else None) if x is not None], default=None)
         hot = F.col("at").isNull() if mark is None else (F.col("at").isNull() | (F.unix_seconds("at") >= mark))
-        core = seen.select(*keys, "first_id", "at")
-        core.where(hot).write.mode("overwrite").parquet(self._at("state", batch))
-        core.where(~hot).write.mode("overwrite").parquet(self._at("archive", batch))
-        firsts = seen.where("new_id is not null").select(*keys, "first_id")
-        given.join(firsts, keys).where("delivery_id <> first_id").select(*keys, "first_id", F.col("delivery_id").alias("copy_id")).write.mode("overwrite").parquet(self._at("copies", batch))
-        seen.where("old_id > first_id").select(*keys, "old_id").write.mode("overwrite").parquet(self._at("moved", batch))
-        self._commit(batch, mark)
+        kept = seen.select(*keys, "first_id", "at")
+        if batch - base >= COMPACT:
+            kept, base = kept.unionByName(self._read("state", _SEEN, [b for b in done if b >= base])).groupBy(*keys).agg(F.min("first_id").alias("first_id"), F.max("at").alias("at")), batch
+        kept.where(hot).write.mode("overwrite").parquet(self._at("state", batch))
+        kept.where(~hot).withColumn("slot", F.expr(_SLOT)).repartition("slot").sortWithinPartitions("slot").write.mode("overwrite").parquet(self._at("archive", batch))
+        given.join(seen.select(*keys, "first_id"), keys).where("delivery_id <> first_id").select(*keys, "first_id", F.col("delivery_id").alias("copy_id")).write.mode("overwrite").parquet(self._at("copies", batch))
+        self._commit(batch, mark, base)
 
     def copies(self) -> DataFrame:
         """``first_id, copy_id`` of all committed batches.
@@ -126,7 +137,7 @@ class DeliveryLog:
         """
         done = self.committed()
         copies = self._read("copies", _COPIES, done)
-        moved = self._read("moved", _MOVED, done)
+        moved = self._read("seen", _MET, done).where("old_id > first_id").select("acc", "cik", "old_id")
         if moved.isEmpty():
             return copies.select("first_id", "copy_id")
         keys = ["acc", "cik"]
@@ -139,7 +150,7 @@ class DeliveryLog:
         return self._read("seen", _SEEN, self.committed()).groupBy("acc", "cik").agg(F.min("first_id").alias("first_id"))
 
 
-def run_dedupe(spark: SparkSession, source: str, schema, root: str | None = None, horizon_seconds: int = HORIZON_SECONDS) -> DeliveryLog:
+def run_dedupe(spark: SparkSession, source: str, schema, root: str | None = None, horizon_seconds: int = HORIZON_SECONDS, batch_bytes: int = BATCH_BYTES) -> DeliveryLog:
     """Read all that the feed folder holds now, batch by batch, and return the log.
 
     Calling it again with the same ``root`` goes on where the last call ended.
@@ -148,8 +159,7 @@ def run_dedupe(spark: SparkSession, source: str, schema, root: str | None = None
     log = DeliveryLog(spark, root, horizon_seconds)
     at = spark._jvm.org.apache.hadoop.fs.Path(source)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    total = fs.getContentSummary(at).getLength()
-    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max(LEAST_BYTES, -(-total // BATCHES))))
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(batch_bytes))
     if fs.getFileStatus(at).isFile():  # a stream reads folders
         reader, source = reader.option("pathGlobFilter", at.getName()), at.getParent().toString()
     stream = reader.parquet(source)

@@ -78,3 +78,20 @@ def test_stream_goes_on_where_it_ended(spark, tmp_path):
     assert [tuple(r) for r in run_dedupe(spark, src, schema, root).copies().collect()] == [(1, 3)]
     frame(spark, [(4, "2", "1", None)]).coalesce(1).write.mode("append").parquet(src)
     assert sorted(map(tuple, run_dedupe(spark, src, schema, root).copies().collect())) == [(1, 3), (2, 4)]
+
+
+def test_many_batches_with_rewritten_state(spark, tmp_path, monkeypatch):
+    """The state is rewritten on the way; nothing is lost, whatever has expired."""
+    from tallyweir.streaming import exactly_once as X
+
+    monkeypatch.setattr(X, "COMPACT", 2)
+    rng = random.Random(3)
+    rows = [(i, f"00000000{k:02d}-{rng.choice(['20', '21'])}-000001", str(k + 1), f"2020-01-{1 + i // 12:02d}T00:00:00Z") for i in range(1, 240) for k in [rng.randrange(40)]]
+    order = rows[:]
+    rng.shuffle(order)
+    log = DeliveryLog(spark, f"file://{tmp_path}/many", horizon_seconds=3 * 86_400)
+    for b in range(6):
+        log.process(frame(spark, order[b * 40 : b * 40 + 40]), b)
+    want, kept = truth(rows)
+    assert Counter(map(tuple, log.copies().collect())) == want and log.survivors().count() == kept
+    assert log._last()[1] == 4
