@@ -32,7 +32,7 @@ COMPACT = 16
 
 _SEEN = "acc string, cik string, first_id bigint, at timestamp"
 _COPIES = "acc string, cik string, first_id bigint, copy_id bigint"
-_MET = _SEEN + ", old_id bigint"
+_MET = _SEEN + ", old_id bigint, known boolean"
 #: The year digits of an accession of 18, by which the archive is laid out.
 _SLOT = "case when length(acc) = 18 then substring(acc, 11, 2) else 'xx' end"
 
@@ -114,18 +114,23 @@ class DeliveryLog:
             late = met.where("first_id is null").drop("first_id").join(archive, keys, "left").groupBy(*keys).agg(
                 F.first("new_id").alias("new_id"), F.first("new_at").alias("new_at"), F.min("late_id").alias("first_id"), F.first("at").alias("at")
             )
-            met = met.where("first_id is not null").unionByName(late)
+            met = met.where("first_id is not null").withColumn("known", F.lit(True)).unionByName(late.withColumn("known", F.lit(False)))
+        else:
+            met = met.withColumn("known", F.lit(False))
         first = F.least("first_id", "new_id")
-        met.select(*keys, first.alias("first_id"), F.greatest("at", "new_at").alias("at"), F.col("first_id").alias("old_id")).write.mode("overwrite").parquet(self._at("seen", batch))
+        met.select(*keys, first.alias("first_id"), F.greatest("at", "new_at").alias("at"), F.col("first_id").alias("old_id"), "known").write.mode("overwrite").parquet(self._at("seen", batch))
         seen = self._read("seen", _MET, [batch])
         newest = seen.agg(F.max(F.unix_seconds("at"))).first()[0]
         mark = max([x for x in (old_mark, newest - self.horizon if newest is not None else None) if x is not None], default=None)
         hot = F.col("at").isNull() if mark is None else (F.col("at").isNull() | (F.unix_seconds("at") >= mark))
-        kept = seen.select(*keys, "first_id", "at")
+        # What the state holds stays there until it is rewritten, so that no older entry of it hides the archive.
+        hot, kept = hot | F.col("known"), seen.select(*keys, "first_id", "at", "known")
         if batch - base >= COMPACT:
-            kept, base = kept.unionByName(self._read("state", _SEEN, [b for b in done if b >= base])).groupBy(*keys).agg(F.min("first_id").alias("first_id"), F.max("at").alias("at")), batch
-        kept.where(hot).write.mode("overwrite").parquet(self._at("state", batch))
-        kept.where(~hot).withColumn("slot", F.expr(_SLOT)).repartition("slot").sortWithinPartitions("slot").write.mode("overwrite").parquet(self._at("archive", batch))
+            every = kept.drop("known").unionByName(self._read("state", _SEEN, [b for b in done if b >= base]))
+            kept = every.groupBy(*keys).agg(F.min("first_id").alias("first_id"), F.max("at").alias("at")).withColumn("known", F.lit(False))
+            base = batch
+        kept.where(hot).drop("known").write.mode("overwrite").parquet(self._at("state", batch))
+        kept.where(~hot).drop("known").withColumn("slot", F.expr(_SLOT)).repartition("slot").sortWithinPartitions("slot").write.mode("overwrite").parquet(self._at("archive", batch))
         given.join(seen.select(*keys, "first_id"), keys).where("delivery_id <> first_id").select(*keys, "first_id", F.col("delivery_id").alias("copy_id")).write.mode("overwrite").parquet(self._at("copies", batch))
         self._commit(batch, mark, base)
 
