@@ -1,8 +1,9 @@
 """Statements that filing texts make about shares and offerings, and fields of
 proxies and earnings releases, each with the words it was read from.
 
-Rules are tested on exploded sentences inside the JVM; a statement keeps its
-sentence, so no figure is without its source.
+What a topic sounds like is a vocabulary and how close its words stand
+(``functions.wording``). Topics are tested on exploded sentences inside the JVM; a
+statement keeps its sentence, so no figure is without its source.
 """
 
 from __future__ import annotations
@@ -14,45 +15,56 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweir.functions.texts import clipped, collapsed, figures
-from tallyweir.operators.events import sentence_rows
-
-# Topics (name, must match, must not match, words one of which it holds); sentences are lower case.
-COUNT = r"(?:\d{1,3}(?:,\d{3})+|\d{4,})"
-SHARES = r"(?:class [a-z] )?(?:ordinary shares|common shares|shares of (?:our |the company's |its )?(?:outstanding )?(?:class [a-z] )?common stock|american depositary shares)"
-TOPICS: tuple[tuple[str, str, str | None, tuple[str, ...]], ...] = (
-    (
+from tallyweir.functions.wording import Clause, Saying, said, sayings, worded
+from tallyweir.operators.events import EVENTS, SPLITS, sentence_rows
+
+SHARES = (
+    "ordinary shares", "common shares", "shares of common stock", "shares of our common stock", "shares of its common stock", "shares of the company s common stock", "shares of outstanding common stock",
+    "shares of class * common stock", "shares of our class * common stock", "shares of voting common stock", "shares of non voting common stock", "american depositary shares", "adss",
+)
+OFFERED = ("entered into", "enters into", "we are offering", "is offering", "relates to an offering", "closed", "closing of", "consummated", "priced", "pricing of", "agreed to sell", "agreed to issue", "agreed to purchase", "offer and sale", "offer and sell", "gross proceeds")
+# Kinds of raising, the more specific first.
+KINDS = (
+    Saying("equity_line", (Clause(("standby equity purchase agreement", "equity line", "committed equity", "equity purchase agreement")), Clause(("purchase agreement",), ("from time to time",), 30))),
+    Saying("atm", (Clause(("at the market", "atm", "equity distribution agreement", "open market sale agreement", "sales agreement")),)),
+    Saying("registered_direct", (Clause(("registered direct",)),)),
+    Saying("private_placement", (Clause(("private placement", "private investment in public equity", "pipe")),)),
+    Saying("convertible", (Clause(("convertible note*", "convertible promissory note*", "convertible senior note*", "convertible debenture*", "convertible preferred")),)),
+    Saying("public_offering", (Clause(("underwritten", "underwriting agreement", "public offering", "follow on offering", "best efforts")),)),
+)
+_ANY_KIND = tuple(p for k in KINDS for c in k.clauses for p in c.one)
+_UNLESS_SPLIT = (*next(e for e in EVENTS if e.name == "reverse_split").unless, "no fractional", "we may effect", "we may implement", "could effect", "could implement", "if approved")
+TOPICS = (
+    Saying(
         "shares_outstanding",
-        rf"{COUNT} {SHARES}[^.]{{0,80}}?(?:issued and )?outstanding|(?:there (?:were|are)|we had|had|has) {COUNT} [^.]{{0,80}}?outstanding",
-        r"\bauthori[sz]ed\b|weighted average|would have been|\b(?:issuable|underlying|reserved for|subject to)\b",
-        ("outstanding",),
+        (Clause(SHARES, ("outstanding",), 14, number=4), Clause(("there were", "there are", "we had", "had", "has"), ("outstanding",), 16, number=4), Clause(("consisting of", "comprised of", "comprising"), SHARES, 4, number=4),
+         Clause(("outstanding before", "outstanding prior to", "outstanding after", "outstanding immediately after"), ("#",), 8, number=4)),
+        ("authorized", "authorised", "beneficial ownership limitation", "weighted average", "net tangible book value", "would have been", "issuable", "underlying", "reserved for", "subject to"),
     ),
-    (
-        "offering",
-        r"(?:entered into|we are offering|is offering|closed|priced|agreed to (?:sell|issue|purchase)|gross proceeds)[^.]{0,300}(?:purchase agreement|equity line|at[- ]the[- ]market|"
-        r"registered direct|private placement|public offering|underwriting agreement|gross proceeds)|(?:purchase agreement|registered direct|private placement|public offering)[^.]{0,200}(?:closed|gross proceeds|entered into)",
-        None,
-        ("agreement", "equity line", "market", "direct", "placement", "offering", "proceeds"),
+    Saying("offering", (Clause(OFFERED, (*_ANY_KIND, "purchase agreement", "gross proceeds", "offering price"), 50), Clause(_ANY_KIND, OFFERED, 32))),
+    Saying(
+        "equity_line_terms",
+        (Clause(("lower of", "of the lowest", "of the average", "of the closing", "of the vwap", "of the volume", "floor price", "commitment shares", "commitment fee", "commitment amount", "prepaid advance", "pre paid advance", "advance notice",
+                 "direct the investor to purchase", "right but not the obligation to sell")),),
     ),
-    ("shelf", r"(?:shelf registration|registration statement)[^.]{0,200}up to (?:us)?\$|offer and sell up to (?:us)?\$|held by non-affiliates", r"smaller reporting company|accelerated filer", ("up to", "non-affiliates")),
-    (
-        "reverse_split",
-        r"(?:reverse (?:stock |share )?split|share consolidation)[^.]{0,300}|\b\d{1,5}-for-(?:1|one)\b|\b(?:1|one)-for-\d{1,5}\b",
-        r"if necessary|subject to adjustment|adjust(?:ed|ment)s? (?:for|upon|in the event)|may (?:need|be required|elect) to|no fractional",
-        ("split", "consolidation", "-for-"),
+    Saying(
+        "shelf",
+        (Clause(("baby shelf", "general instruction i b 5", "general instruction i b 6", "public float", "held by non affiliates", "offer and sell up to $*", "offer and sell up to us $*")), Clause(("shelf registration", "registration statement"), ("up to $*", "up to us $*", "up to us$*"), 32)),
+        ("smaller reporting company", "accelerated filer", "emerging growth company", "minimum listing maintenance"),
     ),
-    (
+    Saying("reverse_split", (Clause(SPLITS), Clause(("consolidation of",), ("shares", "share capital"), 18)), _UNLESS_SPLIT),
+    Saying(
         "warrants",
-        rf"{COUNT} (?:pre-funded |common |ordinary )?warrants|warrants (?:for|to purchase) (?:up to )?(?:an aggregate of )?{COUNT}|warrants?\b[^.]{{0,200}}(?:exercise price|exercisable|expire)",
-        r"we may offer|may be offered|description of warrants",
-        ("warrant",),
+        (Clause(("# warrants", "# pre funded warrants", "# prefunded warrants", "# common warrants", "# ordinary warrants")), Clause(("warrants to purchase", "warrants for"), ("#",), 6),
+         Clause(("warrant", "warrants"), ("exercise price", "exercisable", "cashless", "expire", "expires", "exchange all", "exchange any"), 34)),
+        ("we may offer", "may be offered", "description of warrants", "debt securities warrants"),
     ),
-    ("agent", r"\bagent\b[^.]{0,200}commission|placement agent|sales agent|book[- ]running manager", r"transfer agent", ("agent", "book")),
-    ("going_concern", r"substantial doubt[^.]{0,160}going concern|going concern[^.]{0,160}substantial doubt", None, ("going concern",)),
-    ("withdrawal", r"withdr(?:aw|ew)|rescind|deregister", None, ("withdraw", "withdrew", "rescind", "deregister")),
-)
+    Saying("agent", (Clause(("agent",), ("commission", "commissions"), 32), Clause(("placement agent", "sales agent", "book running manager", "as underwriter", "as the underwriter"))), ("transfer agent",)),
+    Saying("going_concern", (Clause(("substantial doubt",), ("going concern",), 28, True),)),
+    Saying("withdrawal", (Clause(("withdraw*", "withdrew", "rescind*", "deregister*")),)),
+)
 #: Statements kept of each topic in one text, unless all are asked for.
 PER_TOPIC = 8
-_DAY = r"(?i:as of) ([A-Z][a-z]+ \d{1,2}, \d{4})"
 
 
 def split_ratio(sentence: Column) -> Column:
@@ -66,25 +78,38 @@ def statements(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``doc_id, topic, pos, sentence, as_of, ratio, figures``: the first ``most``
     statements of each topic in each text (all where it is None), with the day they
     name and their figures. A sentence that recurs in a text counts once."""
-    low = F.col("low")
-
-    def test(topic: str, must: str, but: str | None, words: tuple[str, ...]) -> Column:
-        held = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]) & low.rlike(must)
-        return F.when(held & ~low.rlike(but) if but else held, F.lit(topic))
-
-    rows = sentence_rows(documents, doc_id, text).withColumn("low", F.lower("sentence"))
-    found = rows.select("doc_id", "pos", "sentence", F.explode(F.array_compact(F.array(*[test(*t) for t in TOPICS]))).alias("topic"))
-    first = found.groupBy("doc_id", "topic", "sentence").agg(F.min("pos").alias("pos"))
+    rows = sentence_rows(documents, doc_id, text).withColumn("words", worded(F.col("sentence")))
+    words, sentence = F.col("words"), F.col("sentence")
+    kind = F.element_at(F.concat(sayings(words, KINDS), F.array(F.lit(None).cast("string"))), 1)
+    found = rows.select("doc_id", "pos", "sentence", kind.alias("kind"), F.explode(sayings(words, TOPICS)).alias("topic"))
+    first = found.groupBy("doc_id", "topic", "sentence").agg(F.min("pos").alias("pos"), F.first("kind").alias("kind"))
     if most is not None:
         first = first.withColumn("_k", F.row_number().over(W.partitionBy("doc_id", "topic").orderBy("pos"))).where(F.col("_k") <= most)
-    sentence = F.col("sentence")
-    day = F.try_to_date(F.nullif(F.regexp_extract(sentence, _DAY, 1), F.lit("")), "MMMM d, yyyy")
+    place = F.lit(1)
+    for t in TOPICS:
+        place = F.when(F.col("topic") == t.name, t.place(sentence)).otherwise(place)
     return first.select(
-        "doc_id", "topic", "pos", clipped(sentence, 600).alias("sentence"), day.alias("as_of"),
-        F.when(F.col("topic") == "reverse_split", split_ratio(sentence)).alias("ratio"), figures(sentence).alias("figures"),
+        "doc_id", "topic", "pos", F.when(F.length(sentence) <= 600, sentence).otherwise(clipped(sentence, 600, place)).alias("sentence"), day_named(sentence).alias("as_of"),
+        F.when(F.col("topic") == "reverse_split", split_ratio(sentence)).alias("ratio"), F.when(F.col("topic") == "offering", F.col("kind")).alias("kind"), figures(sentence).alias("figures"),
     )
 
 
+def day_named(sentence: Column) -> Column:
+    """The day that "as of" names, written with the month's name; NULL without one."""
+    words = F.split(F.substring_index(F.regexp_replace(sentence, "(?i)as of ", "\u0003"), "\u0003", -1), " ")
+    said = F.array_join(F.slice(words, 1, 3), " ")
+    return F.when(F.lower(sentence).contains("as of "), F.try_to_date(F.regexp_replace(said, "[.;:)]+$", ""), "MMMM d, yyyy"))
+
+
+def going_concerns(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, pos, sentence`` of the first sentence of each text that doubts the
+    going concern: the doubt and the concern stand near each other."""
+    rule = next(t for t in TOPICS if t.name == "going_concern")
+    rows = sentence_rows(documents, doc_id, text).where(F.lower("sentence").contains("going concern"))
+    hits = rows.where(rule.test(worded(F.col("sentence"))))
+    return hits.groupBy("doc_id").agg(F.min("pos").alias("pos"), F.min_by("sentence", "pos").alias("sentence"))
+
+
 # What an earnings sentence speaks of.
 EARNINGS_WORDS = ("revenue", "net income", "net loss", "ebitda", "guidance", "outlook", "cash flow", "margin", "earnings per share")
 
@@ -109,25 +134,33 @@ def earnings_highlights(documents: DataFrame, doc_id: str = "doc_id", text: str
 
 # Number words of board sizes.
 NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen")
-# Labels and amounts of fee tables, and the sentences that state a board's size.
-_FEE = r"(?i)((?:audit-related|audit|tax|all\s+other)\s+fees)(?:\s*\(1\))?[\s.:–—-]*\$?\s*([\d,]{5,})"
-
-
-_BOARD = r"(?i)\b(?:board\s+of\s+directors\s+(?:currently\s+)?consists\s+of|currently\s+have)\s+(\w+)(?:\s+\(\d+\))?\s+(?:directors?|members?)"
+# The fees a proxy states.
+FEES = ("audit fees", "audit-related fees", "tax fees", "all other fees")
 
 
 def audit_fees(text: Column) -> Column:
-    """array<struct<label, usd>> of stated fees between 10,000 and 200 million."""
-    labels, amounts = (F.regexp_extract_all(text, F.lit(_FEE), i) for i in (1, 2))
-    pairs = F.zip_with(labels, amounts, lambda a, b: F.struct(F.lower(collapsed(a)).alias("label"), F.regexp_replace(b, ",", "").try_cast("bigint").alias("usd")))
-    return F.filter(pairs, lambda p: p["usd"].between(10_000, 200_000_000))
+    """array<struct<label, usd>> of stated fees between 10,000 and 200 million.
+
+    The text is cut before each label; the first amount behind a label, no
+    further than its line goes, is the fee.
+    """
+    low = F.lower(collapsed(F.regexp_replace(text, "\n", " \u0004 ")))
+    cut = F.split(low, "(?=(?:audit|audit-related|tax|all other) fees)")
+    label = lambda p: F.coalesce(*[F.when(p.startswith(f), F.lit(f)) for f in FEES])
+    amount = lambda p: F.regexp_replace(F.regexp_extract(F.substring(p, 1, 60), r"fees(?: \(1\))?[^0-9a-z]*([0-9,]{5,})", 1), ",", "").try_cast("bigint")
+    pairs = F.transform(cut, lambda p: F.struct(label(p).alias("label"), amount(p).alias("usd")))
+    return F.filter(pairs, lambda p: p["label"].isNotNull() & p["usd"].between(10_000, 200_000_000))
 
 
 def board_size(text: Column) -> Column:
     """The stated number of directors, if it is between 3 and 30."""
-    said = F.lower(F.regexp_extract(text, _BOARD, 1))
-    place = F.array_position(F.array(*[F.lit(w) for w in NUMBER_WORDS]), said).cast("int")
-    size = F.coalesce(said.try_cast("int"), F.nullif(place, F.lit(0)))
+    words = worded(text)
+    behind = F.coalesce(
+        F.nullif(F.regexp_extract(words, " board of directors (?:currently )?consists of ([a-z0-9]+) (?:[0-9]+ )?(?:directors?|members?) ", 1), F.lit("")),
+        F.nullif(F.regexp_extract(words, " currently have ([a-z0-9]+) (?:[0-9]+ )?(?:directors?|members?) ", 1), F.lit("")),
+    )
+    place = F.array_position(F.array(*[F.lit(w) for w in NUMBER_WORDS]), behind).cast("int")
+    size = F.coalesce(behind.try_cast("int"), F.nullif(place, F.lit(0)))
     return F.when(size.between(3, 30), size)
 
 

@@ -158,11 +158,8 @@ def parsed(documents: DataFrame, rows_of, schema: str, doc_id: str = "doc_id", t
 
 
 OWNERS = "doc_id bigint, owner_name string, owner_cik string, shares double, percent double, security string, reported string, method string"
-# Amounts as covers write them, and the labels of legacy covers.
-_COVER_AMOUNT = r"\s*([\d,]+(?:\.\d+)?)\s*%?\s*(?:\([^)]+\))?\s*"
-_PERSON_LABEL = r"(?i)names? of reporting persons?[ \t]*(?:\([^)]*\))?"
-_SHARES_LABEL = r"aggregate amount beneficially owned(?: by each reporting person)?"
-_SHARE_LABEL = r"percent(?:age)? of class(?: represented by amount in row\s*\(?\d+\)?)?"
+# The labels of legacy covers.
+PERSON, OWNED, SHARE = "reporting person", "aggregate amount beneficially owned", "percent"
 # Element names of the two cover dialects (person, amount, percent, day).
 _COVERS = {
     "reportingPersonInfo": ("aggregateAmountOwned", "percentOfClass", "dateOfEvent"),
@@ -175,18 +172,53 @@ def _anywhere(node, name: str) -> str | None:
 
 
 def _amount(text: str | None) -> float | None:
-    m = re.fullmatch(_COVER_AMOUNT, text or "")
-    return float(m[1].replace(",", "")) if m else None
+    """The number a cell holds beside a percent sign and remarks in brackets, if it holds nothing else."""
+    plain, depth = "", 0
+    for c in text or "":
+        depth += (c == "(") - (c == ")" and depth > 0)
+        plain += c if not depth and c not in "),% \t\n\r" else ""
+    return float(plain) if plain.replace(".", "", 1).isdigit() and plain.isascii() else None
+
+
+def _behind(line: str, start: int) -> str:
+    """What stands on a line behind a label and its remarks ("by each ...", "(9)")."""
+    rest, depth = line[start:], 0
+    for i, c in enumerate(rest):
+        depth += (c == "(") - (c == ")" and depth > 0)
+        if not depth and (c == ":" or c.isdigit()):
+            return rest[i:].strip(" :-")
+    return ""
 
 
 def _labelled(lines: list[str], label: str) -> str | None:
     """What stands behind a label on its line, or on the next line if nothing does."""
     for line, after in zip(lines, [*lines[1:], ""], strict=False):
-        if m := re.search(label, line, re.I):
-            return line[m.end() :].strip(" :-") or after
+        at = line.lower().find(label)
+        if at >= 0:
+            return _behind(line, at + len(label)) or after
     return None
 
 
+def _persons(content: str) -> Iterator[list[str]]:
+    """The lines of each legacy cover block: behind a line that asks for the name of
+    reporting persons, up to the next one."""
+    block: list[str] | None = None
+    for raw in content.splitlines():
+        low = raw.lower()
+        at = low.find(PERSON)
+        if at >= 0 and "name" in low[:at] and OWNED not in low:
+            if block is not None:
+                yield block
+            rest = raw[at + len(PERSON) :].lstrip("sS")
+            if rest.lstrip().startswith("("):
+                rest = rest[rest.find(")") + 1 :] if ")" in rest else ""
+            block = [rest]
+        elif block is not None:
+            block.append(raw)
+    if block is not None:
+        yield block
+
+
 def owner_rows(content: str | None) -> Iterator[tuple]:
     """Owners on a beneficial-ownership cover: from its elements, else from labelled
     lines of its text. A label whose value is lost gives no owner."""
@@ -201,8 +233,8 @@ def owner_rows(content: str | None) -> Iterator[tuple]:
             yield name, _anywhere(person, "reportingPersonCIK"), _amount(_anywhere(person, amount)), _amount(_anywhere(person, percent)), _anywhere(root, "securitiesClassTitle"), _anywhere(root, day), "elements"
     if found or not content:
         return
-    for block in re.split(_PERSON_LABEL, content)[1:]:
-        lines = [x.strip(" \t:-") for x in block.splitlines() if x.strip(" \t:-")]
-        shares, share = _amount(_labelled(lines, _SHARES_LABEL)), _labelled(lines, _SHARE_LABEL)
-        if lines and shares is not None and not re.fullmatch(r"\d+\.?", lines[0]):
+    for block in _persons(content):
+        lines = [x.strip(" \t:-") for x in block if x.strip(" \t:-")]
+        shares, share = _amount(_labelled(lines, OWNED)), _labelled(lines, SHARE)
+        if lines and shares is not None and not lines[0].rstrip(".").isdigit():
             yield lines[0], None, shares, _amount(share) if share and "%" in share else None, None, None, "labels"

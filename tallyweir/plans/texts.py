@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweir.functions.keys import accession_18
 from tallyweir.functions.texts import collapsed, figures, item_numbers, money, sentences, snippet
 from tallyweir.operators import documents as D
 from tallyweir.operators import events as E
@@ -60,10 +61,22 @@ def accession_extract(spark: SparkSession, d: str) -> DataFrame:
     return f.select("delivery_id", F.regexp_extract("filing_url", r"/([0-9]{18})/", 1).alias("accession"), F.regexp_extract("filing_url", r"/data/([0-9]+)/", 1).alias("cik"))
 
 
-@_query("""SELECT doc_id, substring(text, greatest(1, instr(lower(text), 'going concern') - 50), 200) AS snippet FROM documents WHERE instr(lower(text), 'going concern') > 0""")
+@_query()
 def going_concern(spark: SparkSession, d: str) -> DataFrame:
-    found = snippet(F.col("text"), "going concern", 200)
-    return _docs(spark, d).select("doc_id", found.alias("snippet")).where("snippet is not null")
+    """The sentence in which a text doubts the going concern."""
+    return V.going_concerns(_docs(spark, d))
+
+
+@_query()
+def report_leads(spark: SparkSession, d: str) -> DataFrame:
+    return E.report_leads(_docs(spark, d))
+
+
+@_query()
+def filing_events(spark: SparkSession, d: str) -> DataFrame:
+    """What item numbers and texts say happened, filing by filing, newest first."""
+    docs = table(spark, d, "documents").select("doc_id", accession_18(F.col("accession")).alias("accession"), "form", "text")
+    return E.filing_events(filings(spark, d).select("accession", "form", "filed", "item_list"), docs).orderBy(F.desc("filed"), "accession", "event_type")
 
 
 @_query("""SELECT doc_id, substring(text, greatest(1, instr(lower(text), 'reverse split') - 40), 160) AS snippet FROM documents WHERE instr(lower(text), 'reverse split') > 0""")
@@ -131,7 +144,7 @@ def grep_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def typed_figures(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.posexplode(figures(F.col("text"))).alias("pos", "f")).select("doc_id", "pos", "f.type", "f.text", "f.value")
+    return _docs(spark, d).select("doc_id", F.posexplode(figures(F.col("text"))).alias("pos", "f")).select("doc_id", "pos", "f.type", "f.text", "f.value", "f.start", "f.share_class")
 
 
 @_query()
@@ -148,7 +161,7 @@ def plain_texts(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def share_statements(spark: SparkSession, d: str) -> DataFrame:
     """All statements about shares, each sentence of a text once a topic."""
-    return V.statements(_docs(spark, d), most=None).select("doc_id", "topic", "pos", "sentence", "as_of", "ratio", F.size("figures").alias("n_figures"))
+    return V.statements(_docs(spark, d), most=None).select("doc_id", "topic", "pos", "sentence", "as_of", "ratio", "kind", F.size("figures").alias("n_figures"))
 
 
 @_query()

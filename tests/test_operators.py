@@ -182,22 +182,6 @@ def test_change_point_and_label(spark):
     assert spark.range(1).select(label.alias("x")).first().x == "decelerating"
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data here")
-def test_guards_change_nothing(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    low = events.sentence_rows(docs).select(F.lower("sentence").alias("low")).distinct()
-    extra = ["x was renamed y", "a 10-for-1 reverse of 5 took effect and was effected", "one for 20 split effective", "shareholders approved it", "it filed form 25", "they regained compliance"]
-    low = low.unionByName(spark.createDataFrame([(e,) for e in extra], "low string"))
-    for rule in events.RULES:
-        both = low.select(events.rule_test(F.col("low"), *rule).alias("a"), events.rule_test(F.col("low"), *rule, guarded=False).alias("b"))
-        assert both.where("not (a <=> b)").count() == 0, rule[0]
-
-
-def test_rules_compile():
-    assert all(re.compile(must) and (not but or re.compile(but)) for _, must, but in events.RULES)
-    assert set(events.GUARDS) == {kind for kind, _, _ in events.RULES}
-
-
 def test_statements(spark):
     text = "As of June 23, 2023 there were 60,788,115 ordinary shares outstanding, held by 167 holders. Holders approved a 1-for-148 reverse split of the shares. A 5-for-1 split may be required to be done if necessary."
     got = {(r.topic, str(r.as_of), r.ratio, tuple(f.value for f in r.figures)) for r in evidence.statements(spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")).collect()}
