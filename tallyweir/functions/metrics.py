@@ -8,7 +8,7 @@ what is missing, so every derived number can be traced.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Metric:
-    """``plus`` and ``minus`` are summed, then divided by ``over`` (if any)."""
+    """``plus`` and ``minus`` are summed, then divided by ``over`` (if any).
+
+    ``instead`` is another way to the same metric, taken where the first input is missing.
+    """
 
     name: str
     formula: str
@@ -24,6 +27,7 @@ class Metric:
     minus: tuple[str, ...] = ()
     over: tuple[str, ...] = ()
     optional: tuple[str, ...] = ()
+    instead: Metric | None = None
 
     @property
     def inputs(self) -> tuple[str, ...]:
@@ -32,7 +36,7 @@ class Metric:
 
 # The metrics and their formulas.
 METRICS = (
-    Metric("gross_margin", "gross_profit / revenue", ("gross_profit",), (), ("revenue",)),
+    Metric("gross_margin", "gross_profit / revenue", ("gross_profit",), (), ("revenue",), (), Metric("gross_margin", "(revenue - cogs) / revenue", ("revenue",), ("cogs",), ("revenue",))),
     Metric("operating_margin", "operating_income / revenue", ("operating_income",), (), ("revenue",)),
     Metric("net_margin", "net_income / revenue", ("net_income",), (), ("revenue",)),
     Metric("ebitda_margin", "(operating_income + dna) / revenue", ("operating_income", "dna"), (), ("revenue",)),
@@ -72,11 +76,15 @@ def value(metric: Metric, columns: dict[str, Column] | None = None) -> Column:
         return out
 
     top = total(metric.plus, metric.minus)
-    return F.try_divide(top, total(metric.over)) if metric.over else top
+    got = F.try_divide(top, total(metric.over)) if metric.over else top
+    return F.when(of(metric.plus[0]).isNull(), value(metric.instead, columns)).otherwise(got) if metric.instead else got
 
 
 def envelope(metric: Metric) -> Column:
     """struct metric, value, formula, inputs, caveats, missing_inputs."""
+    if metric.instead:
+        first = replace(metric, instead=None)
+        return F.when(F.col(metric.plus[0]).isNull(), envelope(metric.instead)).otherwise(envelope(first))
     inputs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in metric.inputs])
     lacks = lambda n, text: F.when(F.col(n).isNull(), F.lit(text))
     required = [n for n in metric.inputs if n not in metric.optional]

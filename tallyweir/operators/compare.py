@@ -93,6 +93,17 @@ def listings(rows: DataFrame, tickers: DataFrame) -> DataFrame:
     return rows.join(every, "cik", "left").withColumns({"ticker": single, "tickers": F.array_join("tickers", ",")})
 
 
+def nearest_instants(instants: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``cik, alias, val, off``: of each filer and alias the instant nearest to the
+    filer's ``period_end``; days behind it count threefold. Ties: first precedence,
+    latest filed, largest ``fact_id``. Kept however far off it is."""
+    days = F.date_diff("end", "period_end")
+    off = F.abs(days) * F.when(days > 0, 3).otherwise(1)
+    joined = instants.join(anchors.select("cik", "period_end"), "cik").withColumn("off", off)
+    best = F.min_by(F.struct("val", "off"), F.struct("off", "precedence", -F.unix_date("filed"), -F.col("fact_id"))).alias("b")
+    return joined.groupBy("cik", "alias").agg(best).select("cik", "alias", "b.*")
+
+
 def pivot_aliases(winners: DataFrame, names: list[str]) -> DataFrame:
     """One row per filer with a column per alias."""
     return winners.groupBy("cik").agg(*[F.max(F.when(F.col("alias") == n, F.col("val"))).alias(n) for n in names])

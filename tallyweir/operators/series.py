@@ -61,6 +61,18 @@ def ttm_stub(annual: DataFrame, to_date: DataFrame) -> DataFrame:
     return out.select("cik", value.alias("ttm"), F.coalesce("now.end", "fy_end").alias("period_end"), F.when(F.col("now").isNull(), "fy").otherwise("stub").alias("basis"))
 
 
+def ttm(quarters: DataFrame, annual: DataFrame, to_date: DataFrame) -> DataFrame:
+    """``cik, ttm, period_end, basis``: the sum of four quarters where there are such,
+    else the full year with its stubs; series with neither are left out."""
+    four = ttm_quarters(quarters).select("cik", F.col("ttm").alias("four"), F.col("period_end").alias("four_end"))
+    both = four.join(ttm_stub(annual.select("cik", "end", "val"), to_date), "cik", "full")
+    has = F.col("four").isNotNull()
+    return both.select(
+        "cik", F.coalesce("four", "ttm").alias("ttm"), F.when(has, F.col("four_end")).otherwise(F.col("period_end")).alias("period_end"),
+        F.when(has, "quarters").otherwise(F.col("basis")).alias("basis"),
+    ).where("ttm is not null")
+
+
 def growth(series: DataFrame, gap: tuple[int, int] = YEAR_GAP) -> DataFrame:
     """Each value against the nearest earlier one whose end lies ``gap`` days back;
     values without such a one, or against zero, are left out."""

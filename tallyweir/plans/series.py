@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.functions.metrics import BY_NAME, METRICS, envelope, value
+from tallyweir.functions.metrics import BY_NAME, METRICS, envelope, value, Metric
 from tallyweir.functions.periods import quarter_end
 from tallyweir.functions.aliases import alias_table
 from tallyweir.operators import series as S
@@ -137,7 +137,7 @@ def trend_label(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Metrics over the aliased facts of each filer.
-_NAMES = sorted({n for m in METRICS for n in m.inputs})
+_NAMES = sorted({n for m in METRICS for n in (*m.inputs, *(m.instead.inputs if m.instead else ()))})
 _WIDE_SQL = "v AS (SELECT cik, " + ", ".join(f"max(CASE WHEN alias = '{n}' THEN val END) AS {n}" for n in _NAMES) + " FROM w GROUP BY cik)"
 _BASE_SQL = f"WITH {FACTS_SQL}, {ALIASED_SQL}, {WINNER_SQL}, {_WIDE_SQL}"
 
@@ -149,6 +149,14 @@ def wide(spark: SparkSession, d: str) -> DataFrame:
 
 def _metric_sql(name: str) -> str:
     m = BY_NAME[name]
+    if m.instead:
+        first, second = (_formula_sql(x).rsplit(" AS ", 1)[0] for x in (m, m.instead))
+        return f"CASE WHEN {m.plus[0]} IS NULL THEN {second} ELSE {first} END AS {name}"
+    return _formula_sql(m)
+
+
+def _formula_sql(m: Metric) -> str:
+    name = m.name
     of = lambda n: f"coalesce({n}, 0)" if n in m.optional else n
     top = " + ".join(map(of, m.plus)) + "".join(f" - {of(n)}" for n in m.minus)
     return f"({top}) / nullif({' + '.join(map(of, m.over))}, 0) AS {name}" if m.over else f"({top}) AS {name}"
@@ -177,9 +185,13 @@ for _name, _metrics in _BUNDLES.items():
     _bundle(_name, _metrics)
 
 
+def _lacks_sql(m: Metric) -> str:
+    return " || ".join(f"CASE WHEN {n} IS NULL THEN '{n},' ELSE '' END" for n in m.inputs if n not in m.optional)
+
+
 _MISSING_SQL = " UNION ALL ".join(
     f"SELECT cik, '{m.name}' AS metric, {_metric_sql(m.name).rsplit(' AS ', 1)[0]} AS value, "
-    + " || ".join(f"CASE WHEN {n} IS NULL THEN '{n},' ELSE '' END" for n in m.inputs if n not in m.optional)
+    + (f"CASE WHEN {m.plus[0]} IS NULL THEN {_lacks_sql(m.instead)} ELSE {_lacks_sql(m)} END" if m.instead else _lacks_sql(m))
     + " AS missing FROM v"
     for m in METRICS
 )
