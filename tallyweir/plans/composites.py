@@ -134,11 +134,11 @@ def facts_cagr(spark: SparkSession, d: str) -> DataFrame:
     return S.cagr(fact_series(spark, d, "annual"), 5, 1).select("cik", "last", "first", "n", F.round("cagr", 6).alias("cagr"))
 
 
-_STUB_SQL = P.SQL["ttm_stub"][P.SQL["ttm_stub"].index("y AS (SELECT cik, max") :]
+_STUB_SQL = P.SQL["ttm_stub"][P.SQL["ttm_stub"].index("y AS (SELECT cik, max") :].replace("FROM a GROUP BY", "FROM full_years GROUP BY")
 _FOUR_SQL, _FOUR_END = P.SQL["ttm_quarters"].replace(f"WITH {P.Q_SQL}, ", "").split("\nSELECT cik, arg_max(four")
 
 
-@_query(f"""WITH {FACTS_SQL}, {ALIASED_SQL}, {_series_sql("quarterly")}, {_series_sql("annual", "a")}, {_series_sql("ytd", "h")},
+@_query(f"""WITH {FACTS_SQL}, {ALIASED_SQL}, {_series_sql("quarterly")}, {_series_sql("annual", "full_years")}, {_series_sql("ytd", "h")},
 {_FOUR_SQL}, tq AS (SELECT cik, arg_max(four{_FOUR_END}), sb AS (WITH {_STUB_SQL})
 SELECT coalesce(tq.cik, sb.cik) AS cik, coalesce(tq.ttm, sb.ttm) AS ttm, CASE WHEN tq.ttm IS NOT NULL THEN tq.period_end ELSE sb.period_end END AS period_end,
 CASE WHEN tq.ttm IS NOT NULL THEN 'quarters' ELSE sb.basis END AS basis FROM tq FULL JOIN sb ON tq.cik = sb.cik WHERE coalesce(tq.ttm, sb.ttm) IS NOT NULL""")
