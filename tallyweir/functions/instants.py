@@ -26,7 +26,7 @@ _DATE = (
     rf"|(\d{{1,2}})[-\s]{_MONTH}\.?,?[-\s](\d{{4}}|\d{{2}})"  # 11 day, 12 month, 13 year
     r"|(\d{4})(\d{2})(\d{2}))"  # 14 year, 15 month, 16 day
 )
-_CLOCK = r"(?:(?:t|,?\s+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*([ap]\.?m\.?(?![a-z]))?)?"  # 17-21
+_CLOCK = r"(?:(?:t|,?\s+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*([ap]\.?m\.?(?![a-z]))?)?"  # 17-21
 _BASIC = r"^(\d{4})(\d{2})(\d{2})[Tt ](\d{2})(\d{2})(\d{2})"
 _ZONE = (
     r"\s*(z|utc|gmt|est|edt|et|(?:(?:utc|gmt)?\s?[+-]\d{1,2}(?::?\d{2})?)|\[?[a-z]+(?:/[a-z0-9_+\-]+)+\]?)?"  # 22
@@ -40,9 +40,6 @@ _CLEAN = r"^[\s ]+|[\s ]+$"
 FIXED_OFFSETS = {"z": "UTC", "utc": "UTC", "gmt": "UTC", "est": "-05:00", "edt": "-04:00"}
 NEW_YORK = ("et", "us/eastern", "america/new_york")
 
-#: No notation is longer than this after trimming; longer text is no case.
-LONGEST = 100
-
 
 @cache
 def _regions() -> tuple[str, ...]:
@@ -51,9 +48,9 @@ def _regions() -> tuple[str, ...]:
 
 
 def trimmed(raw: Column) -> Column:
-    """Without surrounding blanks; NULL where nothing, or too much, is left."""
+    """Without surrounding blanks; NULL where nothing is left."""
     text = F.regexp_replace(raw, _CLEAN, "")
-    return F.when((text != "") & (F.length(text) <= LONGEST), text)
+    return F.when(text != "", text)
 
 
 class _Parts:
@@ -87,8 +84,8 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _zone_of(zone: Column, default: str) -> Column:
-    """Zone id for Spark; NULL where the text names one that does not exist."""
+def zone_id(zone: Column) -> Column:
+    """Zone id for Spark of a named zone or offset; NULL where there is none such."""
 
     def offset_id(offset: Column) -> Column:
         digits = F.regexp_replace(F.substring(offset, 2, 9), ":", "")
@@ -108,7 +105,12 @@ def _zone_of(zone: Column, default: str) -> Column:
         out = out.when(offset.rlike(r"^[+-]\d{1,2}(:?\d{2})?$"), _let(offset, offset_id))
         return out.when(plain.isin(*_regions()), plain)
 
-    return F.when(zone.isNull(), F.lit(default)).otherwise(_let(F.regexp_replace(zone, r"[\[\]\s]", ""), named))
+    return _let(F.regexp_replace(zone, r"[\[\]\s]", ""), named)
+
+
+def _zone_of(zone: Column, default: Column) -> Column:
+    """Zone id of what the text names; the default where it names none."""
+    return F.when(zone.isNull(), default).otherwise(zone_id(zone))
 
 
 def _clock(p: _Parts) -> tuple[Column, Column, Column, Column]:
@@ -130,7 +132,7 @@ def _ymd(p: _Parts) -> Column:
     return F.struct(full.alias("y"), month.alias("m"), day.alias("d"))
 
 
-def _instant(p: _Parts, default: str) -> Column:
+def _instant(p: _Parts, default: Column) -> Column:
     def at(ymd: Column) -> Column:
         hour, minute, seconds, good = _clock(p)
         ts = F.try_make_timestamp(ymd["y"], ymd["m"], ymd["d"], hour, minute, seconds, _zone_of(p.text(22), default))
@@ -139,33 +141,36 @@ def _instant(p: _Parts, default: str) -> Column:
     return _let(_ymd(p), at)
 
 
-def instant_of(text: Column) -> Column:
+def instant_of(text: Column, zone: Column | None = None) -> Column:
     """The instant a trimmed text denotes; NULL where it denotes none.
 
-    Text without a zone is UTC. A bare number of 10 or 13 digits counts seconds
+    Text without a zone is read in ``zone``, a zone id, UTC where none is given. A bare number of 10 or 13 digits counts seconds
     or milliseconds since 1970, one of 14 digits is a clock time. A local time
     that occurs twice is the first; one that is skipped takes the offset before
     the change.
     """
+    zone = F.lit("UTC") if zone is None else zone
     at14 = [F.substring(text, a, k).try_cast("int") for a, k in ((1, 4), (5, 2), (7, 2), (9, 2), (11, 2), (13, 2))]
     clock14 = F.when(
         (at14[3] <= 23) & (at14[4] <= 59) & (at14[5] <= 59),
-        F.try_make_timestamp(*at14[:5], at14[5].cast("decimal(8,6)"), F.lit("UTC")),
+        F.try_make_timestamp(*at14[:5], at14[5].cast("decimal(8,6)"), zone),
     )
     return (
         F.when(text.rlike(r"^\d{10}$"), F.timestamp_seconds(text.try_cast("bigint")))
         .when(text.rlike(r"^\d{13}$"), F.timestamp_millis(text.try_cast("bigint")))
         .when(text.rlike(r"^\d{14}$"), clock14)
-        .otherwise(_let(split_text(text), lambda parts: F.when(F.get(parts, F.lit(17)) != "", _instant(_Parts(parts), "UTC"))))
+        .otherwise(_let(split_text(text), lambda parts: F.when(F.get(parts, F.lit(17)) != "", _instant(_Parts(parts), zone))))
     )
 
 
-def day_of(text: Column) -> Column:
+def day_of(text: Column, zone: Column | None = None) -> Column:
     """The calendar day a trimmed text denotes; NULL where it denotes none.
 
-    Text that names a zone or offset is the day in New York at that instant
-    (midnight where it has no time of day); other text is the day written.
+    Text that names a zone or offset is the day in ``zone`` (a zone id, New York
+    where none is given) at that instant, midnight where it has no time of day;
+    other text is the day written.
     """
+    home = F.lit("America/New_York") if zone is None else zone
 
     def in_parts(parts: Column) -> Column:
         p = _Parts(parts)
@@ -177,10 +182,10 @@ def day_of(text: Column) -> Column:
             hour, minute, seconds, good = _clock(p)
             at = F.try_make_timestamp(
                 year, month, day, F.when(has_clock, hour).otherwise(zero), F.when(has_clock, minute).otherwise(zero),
-                F.when(has_clock, seconds).otherwise(nought), _zone_of(p.text(22), "UTC"),
+                F.when(has_clock, seconds).otherwise(nought), _zone_of(p.text(22), F.lit("UTC")),
             )
             written = F.to_date(F.try_make_timestamp(year, month, day, zero, zero, nought, F.lit("UTC")))
-            zoned = F.to_date(F.from_utc_timestamp(at, "America/New_York"))
+            zoned = F.to_date(F.from_utc_timestamp(at, home))
             return F.when((year >= 1) & (~has_clock | good), F.when(p.text(22).isNotNull(), zoned).otherwise(written))
 
         return F.when(F.size(parts) > 1, _let(_ymd(p), from_ymd))
@@ -197,9 +202,9 @@ def instant_text(ts: Column) -> Column:
 
 def parse_instant(raw: Column) -> Column:
     """Instant of a raw text, for use where no dictionary is kept."""
-    return _let(trimmed(raw), instant_of)
+    return _let(trimmed(raw), lambda text: instant_of(text))
 
 
 def parse_day(raw: Column) -> Column:
     """Day of a raw text, for use where no dictionary is kept."""
-    return _let(trimmed(raw), day_of)
+    return _let(trimmed(raw), lambda text: day_of(text))

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.functions.instants import day_of, instant_of, instant_text, trimmed
+from tallyweir.functions.instants import day_of, instant_of, instant_text, trimmed, zone_id
 from tallyweir.session import fresh_path, require_utc
 
 _SCHEMA = "source string, zone string, raw string, instant timestamp, day date"
@@ -26,8 +26,12 @@ class InstantDictionary:
     ``path`` names the table; a new one is begun in the shared folder where it
     is None. ``day_sources`` are the sources whose texts denote days.
 
-    Defined results: null, empty and blank texts, and texts longer than any
-    notation, are not kept and attach NULL; texts of no known notation are kept
+    The zone of an entry is the one its text is read in where it names none, or,
+    of a day source, the one whose day a text with a zone denotes; a null zone is
+    UTC, or New York for days. The same text of another zone is another entry.
+
+    Defined results: null, empty and blank texts are not kept and attach NULL; a
+    zone that does not exist gives NULL where the text needs it; texts of no known notation are kept
     with NULL so that they are never parsed again; equal texts share one entry.
     """
 
@@ -52,12 +56,15 @@ class InstantDictionary:
         """
         fresh = cells.select("source", "zone", trimmed(F.col("raw")).alias("raw")).where("raw is not null").distinct()
         if self._exists():
-            fresh = fresh.join(self.read().select("source", "zone", "raw"), ["source", "zone", "raw"], "left_anti")
-        is_day = F.col("source").isin(*self.day_sources) if self.day_sources else F.lit(False)
-        parsed = fresh.select(
+            a, b = fresh.alias("a"), self.read().select("source", "zone", "raw").alias("b")
+            same = F.col("a.source").eqNullSafe(F.col("b.source")) & F.col("a.zone").eqNullSafe(F.col("b.zone")) & (F.col("a.raw") == F.col("b.raw"))
+            fresh = a.join(b, same, "left_anti")
+        is_day = F.coalesce(F.col("source").isin(*self.day_sources), F.lit(False)) if self.day_sources else F.lit(False)
+        home = F.coalesce("zone", F.when(is_day, "America/New_York").otherwise("UTC"))
+        parsed = fresh.withColumn("_zone", zone_id(home)).select(
             "source", "zone", "raw",
-            F.when(~is_day, instant_of(F.col("raw"))).alias("instant"),
-            F.when(is_day, day_of(F.col("raw"))).alias("day"),
+            F.when(~is_day, instant_of(F.col("raw"), F.col("_zone"))).alias("instant"),
+            F.when(is_day, day_of(F.col("raw"), F.col("_zone"))).alias("day"),
         )
         parsed.write.mode("error").parquet(f"{self.path}/part-{uuid.uuid4().hex}")
         return self
@@ -74,7 +81,9 @@ class InstantDictionary:
             F.col("source").alias("_dict_source"), F.col("zone").alias("_dict_zone"), F.col("raw").alias("_dict_raw"), "instant", "day"
         )
         keys = ["_dict_source", "_dict_zone", "_dict_raw"]
-        return keyed.join(entries, keys, "left").drop(*keys)
+        a, b = keyed.alias("_a"), entries.select(*[F.col(k).alias(f"{k}_") for k in keys], "instant", "day").alias("_b")
+        same = F.col("_dict_source").eqNullSafe(F.col("_dict_source_")) & F.col("_dict_zone").eqNullSafe(F.col("_dict_zone_")) & (F.col("_dict_raw") == F.col("_dict_raw_"))
+        return a.join(b, same, "left").drop(*keys, *[f"{k}_" for k in keys])
 
 
 #: The text fields of the filing tables: table, id, field, and whether it denotes a day.

@@ -83,3 +83,22 @@ def test_other_session_zone_is_refused(spark):
             InstantDictionary(spark)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_dictionary_honours_the_zone(spark):
+    text, day = "2024-07-01T12:00:00", "2024-07-02T03:00:00Z"
+    cells = [("s", "Europe/London", text), ("s", "America/New_York", text), ("s", None, text), ("s", "Nowhere/At_All", text), (None, "UTC", text), ("d", "America/New_York", day), ("d", "Asia/Tokyo", day), ("d", None, day)]
+    df = spark.createDataFrame(cells, "source string, zone string, raw string")
+    kept = InstantDictionary(spark, day_sources=("d",)).extend(df).extend(df)
+    got = {(r.source, r.zone): str(r.instant or r.day or "") for r in kept.attach(df, "raw", F.col("source"), F.col("zone")).collect()}
+    assert got == {
+        ("s", "Europe/London"): "2024-07-01 11:00:00", ("s", "America/New_York"): "2024-07-01 16:00:00", ("s", None): "2024-07-01 12:00:00", ("s", "Nowhere/At_All"): "",
+        (None, "UTC"): "2024-07-01 12:00:00", ("d", "America/New_York"): "2024-07-01", ("d", "Asia/Tokyo"): "2024-07-02", ("d", None): "2024-07-01",
+    }
+    assert kept.read().count() == len(cells)
+
+
+def test_no_text_is_too_long(spark):
+    df = spark.createDataFrame([("July 1,   2024" + " " * 200 + "12:00 UTC",), ("2024-07-01T12:00:00." + "1" * 40 + "Z",), ("x" * 100_000,)], "t string")
+    got = [r.x for r in df.select(instant_text(parse_instant(F.col("t"))).alias("x")).collect()]
+    assert got == ["2024-07-01T12:00:00.000000Z", "2024-07-01T12:00:00.111111Z", None]
