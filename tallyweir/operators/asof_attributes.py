@@ -3,8 +3,9 @@
 Events and attribute changes are united, sorted by entity and availability, and
 the best version so far is carried forward. An entity that holds a third of all
 rows is cut into time buckets (and events of one bucket into salts), each of
-which starts from the version carried in from the buckets before; the carried
-versions come from a pre-aggregation, so no task holds an entity's whole past.
+which starts from the version carried in from the buckets before. Only buckets
+that hold something are there, one row each from a pre-aggregation, so no task
+holds an entity's whole past and no far-off date makes buckets of its own.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyweir.functions.instants import parse_instant
 from tallyweir.functions.keys import accession_18, cik_number
+from tallyweir.session import written
 
 BUCKET_DAYS = 60
 SALTS = 4
@@ -44,31 +46,24 @@ def carry_forward(events: DataFrame, changes: DataFrame, bucket_days: int = BUCK
         .select("entity", F.greatest(F.unix_micros("valid_from"), F.unix_micros("known_at")).alias("at"), rank.alias("best"))
         .withColumn("bucket", bucket)
     )
-    # One row per entity and bucket, then the best of all buckets before: few rows per entity.
-    first = known.groupBy("entity", "bucket").agg(F.max("best").alias("best"))
-    newest = known.agg(F.max("bucket")).first()[0]  # one number
-    beyond = F.lit((newest or 0) + 1).cast("bigint")
-    by_bucket = W.partitionBy("entity").orderBy("bucket")
-    carried = first.withColumns({"best": F.max("best").over(by_bucket), "next": F.lead("bucket").over(by_bucket)}).select(
-        "entity", F.explode(F.sequence(F.col("bucket") + 1, F.coalesce("next", beyond))).alias("bucket"), "best"
-    )
-    marks = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    seen = events.where("entity is not null and at is not null").select("entity", F.unix_micros("at").alias("at"), "event_id").withColumn("bucket", bucket)
+    # One row per entity and bucket that holds an event or a change; each takes the best of all before it.
     none = F.lit(None)
+    best = known.schema["best"].dataType
+    held = known.select("entity", "bucket", "best").unionByName(seen.select("entity", "bucket", none.cast(best).alias("best")).distinct())
+    first = held.groupBy("entity", "bucket").agg(F.max("best").alias("best"))
+    before = F.max("best").over(W.partitionBy("entity").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    carried = first.withColumn("best", before).where("best is not null")
+    marks = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     moved = known.select("entity", "bucket", "at", F.lit(0).alias("turn"), none.cast("bigint").alias("event_id"), "best", marks).unionByName(
         carried.select("entity", "bucket", (F.col("bucket") * bucket_us).alias("at"), F.lit(-1).alias("turn"), none.cast("bigint").alias("event_id"), "best", marks)
     )
-    seen = (
-        events.where("entity is not null and at is not null")
-        .select("entity", F.unix_micros("at").alias("at"), "event_id")
-        .select(
-            "entity", F.least(bucket, beyond).alias("bucket"), "at", F.lit(1).alias("turn"), "event_id",
-            none.cast(first.schema["best"].dataType).alias("best"),
-            F.pmod(F.xxhash64("event_id", "at"), F.lit(salts)).cast("int").alias("salt"),
-        )
-    )
+    salted = seen.select(
+        "entity", "bucket", "at", F.lit(1).alias("turn"), "event_id", none.cast(best).alias("best"), F.pmod(F.xxhash64("event_id", "at"), F.lit(salts)).cast("int").alias("salt")
+    )
     forward = W.partitionBy("entity", "bucket", "salt").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0)
     return (
-        moved.unionByName(seen)
+        moved.unionByName(salted)
         .withColumn("best", F.max("best").over(forward))
         .where("turn = 1")
         .select("entity", "event_id", F.col("best.id").alias("version_id"))
@@ -107,8 +102,9 @@ def facts_with_versions(facts: DataFrame, submissions: DataFrame, history: DataF
     changes = history.select(
         cik_number("cik").alias("entity"), F.col("version_id").cast("bigint").alias("version_id"), F.col("valid_from").cast("timestamp").alias("valid_from"), F.col("known_at").cast("timestamp").alias("known_at")
     )
+    events = written(fact_events(facts, submissions), "fact-events")  # read twice: for the buckets and for the pass
     return (
-        carry_forward(fact_events(facts, submissions), changes)
+        carry_forward(events, changes)
         .where("version_id is not null and event_id is not null")
         .select(F.col("event_id").alias("fact_id"), "version_id")
     )

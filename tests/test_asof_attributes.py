@@ -48,3 +48,11 @@ def test_event_time_of_facts(spark):
     day = lambda d, h=0: dt.datetime(2020, 1, d, h)
     history = spark.createDataFrame([("0000000007", 10, day(1), day(1)), ("7", 11, day(2, 15), day(2, 15)), ("7", 12, day(2, 16), day(4)), (None, 13, day(1), day(1))], "cik string, version_id bigint, valid_from timestamp, known_at timestamp")
     assert rows(facts_with_versions(facts, subs, history)) == [(1, 11), (2, 10)]
+
+
+def test_far_dates_make_no_buckets(spark):
+    """Instants thousands of years apart cost a row each."""
+    at = lambda y: dt.datetime(y, 1, 1)
+    events = spark.createDataFrame([("a", 1, at(2020)), ("a", 2, at(9998)), ("a", 3, at(1970))], "entity string, event_id bigint, at timestamp")
+    changes = spark.createDataFrame([("a", 1, at(1975), at(1975)), ("a", 2, at(9997), at(2000))], "entity string, version_id bigint, valid_from timestamp, known_at timestamp")
+    assert sorted((r.event_id, r.version_id) for r in carry_forward(events, changes).collect()) == [(1, 1), (2, 2), (3, None)]
