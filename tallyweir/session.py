@@ -29,13 +29,15 @@ def local_session(cores: int = 8, partitions: int | None = None) -> SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a temporary folder
-    made and remembered in the session.
+    Only where the session names none and all runs in one process (tests, a laptop)
+    is a temporary folder made and remembered in the session.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.conf.get("tallyweir.shared.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tallyweir-")
         spark.conf.set("tallyweir.shared.dir", at)
     return at.rstrip("/")
@@ -46,12 +48,33 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of an execution go when it ends; whoever reads its result reads the table.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there, so a lost
-    executor costs a re-read, not a recomputation."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executor costs a re-read, not a recomputation. The shuffle files behind it are
+    not needed again and are removed when it is written; ``forget`` removes the table."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_at)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def require_utc(spark: SparkSession) -> None:
@@ -78,8 +101,9 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set("tallyweir.shipped", "yes")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df``, over all cores where its input comes in fewer partitions, as a single
-    small file does. Inputs of many partitions are not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """``scan``, a projection of a scanned table, over all cores where it comes in no
+    more than a quarter as many partitions, as a small file of one row group does.
+    An input that keeps more cores busy by itself is not shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if 4 * scan.rdd.getNumPartitions() > cores else scan.repartition(cores, key)
