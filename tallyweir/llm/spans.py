@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweir.llm.hashing import Prefix, code_points
-from tallyweir.session import spread, written
+from tallyweir.session import forget, spread, written
 
 SPAN = 240
 ANCHOR = 100
@@ -208,11 +208,15 @@ def _paths(pieces: DataFrame) -> DataFrame:
     return runs.groupBy("tid", "part", "kind", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), head).select("tid", "part", "lo", "hi", "path")
 
 
-def _verified(docs: DataFrame, paths: DataFrame, span: int) -> DataFrame:
+def _by_text(paths: DataFrame) -> DataFrame:
+    """``tid, part, paths``: the paths of each text, no more than the text has characters."""
+    return written(paths.groupBy("tid", "part").agg(F.collect_list(F.struct("lo", "hi", "path")).alias("paths")), "paths")
+
+
+def _verified(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     """``tid, part, lo, hi`` of the paths whose characters occur in two or more
     records. Equal passages are combined before they are shuffled; each passage
     moves once more only if different characters share a name and extent."""
-    wanted = written(paths.groupBy("tid", "part").agg(F.collect_list(F.struct("lo", "hi", "path")).alias("paths")), "paths")  # no longer than the text
     held = docs.join(wanted, ["tid", "part"]).select("tid", "part", "text", "paths")
     passages = written(held.mapInArrow(_passages(span), "path bigint, windows int, tid bigint, part int, lo int, passage string"), "passages")
     key = ["path", "windows"]
@@ -241,11 +245,13 @@ def shared_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
         F.col("tid").isNotNull() & (F.length("text") >= span)
     )
     sketch = written(spread(docs, "tid").mapInArrow(_sketches(span, k, segment), "tid bigint, part int, lo int, hi int, node bigint, edge bigint"), "sketch")
-    nodes = (
+    repeated = (
         sketch.groupBy("node").agg(*_ends(), F.min("edge").alias("e0"), F.max("edge").alias("e1")).where("t0 < t1")
         .select("node", F.expr("e0 <> e1").alias("branches"))
     )
+    nodes = written(repeated, "nodes")  # a table, so that Spark knows its size when it chooses the join
     met = written(_beside(sketch.join(nodes, "node").withColumnRenamed("edge", "id").drop("node")), "met")
+    forget(sketch, nodes)
     seen = met.join(_degrees(met), "id")
     asked = seen.where("branches and (t0 = t1 or tid = t0 or tid = t1)")
     ranges = written(asked.groupBy("tid", "part").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")  # no longer than the text
@@ -254,7 +260,9 @@ def shared_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     single = kmers.drop("near").join(_degrees(kmers).where("t0 < t1"), "id").withColumn("hi", F.col("lo"))
     columns = ["tid", "part", "lo", "hi", "id", "out", "inn"]
     pieces = seen.where("t0 < t1").select(F.lit(0).alias("kind"), *columns).unionByName(single.select(F.lit(1).alias("kind"), *columns))
-    return _verified(docs, _paths(pieces), span)
+    paths = _by_text(_paths(pieces))
+    forget(met, ranges, kmers)
+    return _verified(docs, paths, span)
 
 
 def shared_characters(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, k: int = ANCHOR) -> DataFrame:
