@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -48,33 +49,26 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-#: Shuffle files of an execution go when it ends; whoever reads its result reads the table.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there, so a lost
-    executor costs a re-read, not a recomputation. The shuffle files behind it are
-    not needed again and are removed when it is written; ``forget`` removes the table."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    before = spark.conf.get(_CLEANUP, None)
-    if before is not None:
-        spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.mode("overwrite").parquet(path)
-    finally:
-        if before is not None:
-            spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
+    executor costs a re-read, not a recomputation. ``forget`` removes the table."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
 def forget(*tables: DataFrame) -> None:
-    """Remove tables of ``written`` that nothing reads any more."""
+    """Remove tables of ``written`` that nothing reads any more, and the shuffle files
+    of finished executions: Spark's cleaner takes those whose plans the driver no
+    longer holds, which it learns by a collection of the driver's heap."""
     for t in tables:
         at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_at)
         at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    if tables:
+        gc.collect()  # handles of plans on this side
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def require_utc(spark: SparkSession) -> None:
