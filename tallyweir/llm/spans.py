@@ -245,13 +245,12 @@ def shared_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
         F.col("tid").isNotNull() & (F.length("text") >= span)
     )
     sketch = written(spread(docs, "tid").mapInArrow(_sketches(span, k, segment), "tid bigint, part int, lo int, hi int, node bigint, edge bigint"), "sketch")
-    repeated = (
+    nodes = (
         sketch.groupBy("node").agg(*_ends(), F.min("edge").alias("e0"), F.max("edge").alias("e1")).where("t0 < t1")
         .select("node", F.expr("e0 <> e1").alias("branches"))
     )
-    nodes = written(repeated, "nodes")  # a table, so that Spark knows its size when it chooses the join
     met = written(_beside(sketch.join(nodes, "node").withColumnRenamed("edge", "id").drop("node")), "met")
-    forget(sketch, nodes)
+    forget(sketch)
     seen = met.join(_degrees(met), "id")
     asked = seen.where("branches and (t0 = t1 or tid = t0 or tid = t1)")
     ranges = written(asked.groupBy("tid", "part").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")  # no longer than the text
