@@ -15,9 +15,10 @@ so nothing is missed.
    one on both its sides. Maximal runs of nonbranching links are paths; as a path
    has the same extent wherever it occurs, its occurrences are read off at their
    source coordinates, in one sorted pass and without a join per doubling.
-3. The characters at the source coordinates of every path are compared: hashes
-   only propose, characters decide. Should different characters have met under
-   one hash, they are told apart by the characters themselves.
+3. The characters at the source coordinates of every piece, and of every path of
+   single k-mers, are compared: hashes only propose, characters decide. Should
+   different characters have met under one hash, they are told apart by the
+   characters themselves.
 
 No pair of records is ever formed: each step is an aggregation that keeps the
 least and the greatest record of a key, so a passage in a third of all records
@@ -43,8 +44,8 @@ SEGMENT = 1 << 13
 PLACE_BITS = 20
 
 _SKETCH = pa.schema([("tid", pa.int64()), ("part", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("node", pa.int64()), ("edge", pa.int64())])
-_KMERS = pa.schema([("tid", pa.int64()), ("part", pa.int32()), ("lo", pa.int32()), ("id", pa.int64()), ("near", pa.int64())])
-_TEXTS = pa.schema([("path", pa.int64()), ("windows", pa.int32()), ("tid", pa.int64()), ("part", pa.int32()), ("lo", pa.int32()), ("passage", pa.string())])
+_PIECES = pa.schema([("tid", pa.int64()), ("part", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("id", pa.int64()), ("flags", pa.int32()), ("passage", pa.string())])
+_KMERS = pa.schema([("tid", pa.int64()), ("part", pa.int32()), ("piece", pa.int32()), ("lo", pa.int32()), ("id", pa.int64()), ("near", pa.int64())])
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -112,59 +113,52 @@ def _sketches(span: int, k: int, segment: int):
     return run
 
 
-def _neighbours(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """32 bits each of the next (high half) and the previous hash (low half) where
-    the neighbour starts one character on; 0 where it doesn't."""
+def _neighbours(h: np.ndarray) -> np.ndarray:
+    """32 bits each of the next hash (high half) and the previous one (low half) of
+    k-mers that follow each other; 0 at the ends."""
     half = (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    beside = np.diff(at) == 1
-    out = np.zeros(len(at), np.uint64)
-    out[:-1] |= np.where(beside, half[1:] << np.uint64(32), np.uint64(0))
-    out[1:] |= np.where(beside, half[:-1], np.uint64(0))
+    out = np.zeros(len(h), np.uint64)
+    out[:-1] |= half[1:] << np.uint64(32)
+    out[1:] |= half[:-1]
     return out
 
 
-def _kmers(span: int):
-    """The k-mers, with their neighbours, whose starts lie in the ranges asked for."""
+def _cut_pieces(span: int):
+    """The characters of the pieces at their source coordinates."""
 
     def run(batches):
         for batch in batches:
-            ids, marks, texts, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3)
-            out, held = [], 0
+            ids, marks, texts, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)
+            rows, held = [], 0
             for i, tid in enumerate(ids):
-                points = code_points(texts[i].as_py())
-                at = np.unique(np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in lists[i].as_py()]))
-                h = np.zeros(len(at), np.uint64)
-                for a in range(0, len(points), SEGMENT):  # k-mers of one segment at a time
-                    x, y = np.searchsorted(at, (a, a + SEGMENT))
-                    if x < y:
-                        own = at[x:y] - at[x]
-                        h[x:y] = Prefix(points[at[x] : at[y - 1] + span]).spans(own, own + span)
-                out.append((np.full(len(at), tid), np.full(len(at), marks[i]), at.astype(np.int32), h.view(np.int64), _neighbours(h, at).view(np.int64)))
-                held += len(at)
-                if held > 200_000 or i == len(ids) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=_KMERS)
-                    out, held = [], 0
+                text = texts[i].as_py()
+                for r in lists[i].as_py():
+                    rows.append((tid, marks[i], r["lo"], r["hi"], r["id"], r["flags"], text[r["lo"] : r["hi"] + span]))
+                    held += len(rows[-1][6])
+                    if held > 4_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PIECES.types, strict=True)], schema=_PIECES)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PIECES.types, strict=True)], schema=_PIECES)
 
     return run
 
 
-def _passages(span: int):
-    """The characters of the paths at their source coordinates."""
+def _kmers(span: int):
+    """The k-mers of pieces ``(tid, part, lo, passage)``, with their neighbours in the piece."""
 
     def run(batches):
         for batch in batches:
-            ids, marks, texts, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)
-            rows, held = [], 0
+            ids, marks, starts, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
+            out, held = [], 0
             for i, tid in enumerate(ids):
-                text = texts[i].as_py()
-                for r in lists[i].as_py():
-                    rows.append((r["path"], r["hi"] - r["lo"] + 1, tid, marks[i], r["lo"], text[r["lo"] : r["hi"] + span]))
-                    held += len(rows[-1][5])
-                    if held > 4_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TEXTS.types, strict=True)], schema=_TEXTS)
-                        rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TEXTS.types, strict=True)], schema=_TEXTS)
+                h = Prefix(code_points(texts[i].as_py())).windows(span)
+                at = np.arange(len(h), dtype=np.int32) + np.int32(starts[i])
+                out.append((np.full(len(h), tid), np.full(len(h), marks[i]), np.full(len(h), starts[i]), at, h.view(np.int64), _neighbours(h).view(np.int64)))
+                held += len(h)
+                if held > 200_000 or i == len(ids) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=_KMERS)
+                    out, held = [], 0
 
     return run
 
@@ -196,40 +190,34 @@ def _beside(pieces: DataFrame) -> DataFrame:
     return pieces.repartition("tid", "part").dropDuplicates(["tid", "part", "lo"]).withColumn("near", after.bitwiseOR(before))
 
 
-def _paths(pieces: DataFrame) -> DataFrame:
-    """``tid, part, lo, hi, path``: the maximal runs of nonbranching links, named by
-    their first piece, of ``pieces(kind, tid, part, lo, hi, id, out, inn)``."""
-    order = W.partitionBy("tid", "part", "kind").orderBy("lo")
+def _paths(pieces: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    """``within..., lo, hi, path``: the maximal runs of nonbranching links, named by
+    their first piece, of ``pieces(within..., lo, hi, id, out, inn)``."""
+    order = W.partitionBy(*within).orderBy("lo")
     linked = (F.lag("hi").over(order) == F.col("lo") - 1) & F.lag("out").over(order) & F.col("inn")
     begins = F.when(F.coalesce(linked, F.lit(False)), 0).otherwise(1)
-    single = pieces.repartition("tid", "part").dropDuplicates(["tid", "part", "kind", "lo"])
+    single = pieces.repartition(*within[:2]).dropDuplicates([*within, "lo"])
     runs = single.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
     head = F.max(F.when(F.col("begins") == 1, F.col("id"))).alias("path")
-    return runs.groupBy("tid", "part", "kind", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), head).select("tid", "part", "lo", "hi", "path")
-
-
-def _by_text(paths: DataFrame) -> DataFrame:
-    """``tid, part, paths``: the paths of each text, no more than the text has characters."""
-    return written(paths.groupBy("tid", "part").agg(F.collect_list(F.struct("lo", "hi", "path")).alias("paths")), "paths")
+    return runs.groupBy(*within, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), head).select(*within, "lo", "hi", "path")
 
 
-def _verified(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """``tid, part, lo, hi`` of the paths whose characters occur in two or more
-    records. Equal passages are combined before they are shuffled; each passage
-    moves once more only if different characters share a name and extent."""
-    held = docs.join(wanted, ["tid", "part"]).select("tid", "part", "text", "paths")
-    passages = written(held.mapInArrow(_passages(span), "path bigint, windows int, tid bigint, part int, lo int, passage string"), "passages")
+def _verified(passages: DataFrame) -> DataFrame:
+    """The rows of ``passages(path, passage, tid, part, lo, hi, ...)``, without the
+    characters, whose characters occur in two or more records under their name and
+    extent. Equal passages are combined before they are shuffled; each moves once
+    more only if different characters share a name and extent."""
     key = ["path", "windows"]
+    passages = passages.withColumn("windows", F.col("hi") - F.col("lo"))
     distinct = passages.groupBy(*key, "passage").agg(*_ends())
     named = written(distinct.groupBy(*key).agg(F.count(F.lit(1)).alias("texts"), F.min("t0").alias("t0"), F.max("t1").alias("t1")), "named")
-    place = ["tid", "part", "lo", (F.col("lo") + F.col("windows") - 1).alias("hi")]
-    sure = passages.drop("passage").join(named.where("texts = 1 and t0 < t1"), key, "left_semi").select(*place)
+    sure = passages.drop("passage").join(named.where("texts = 1 and t0 < t1"), key, "left_semi").drop("windows")
     mixed = named.where("texts > 1").select(*key)
     if mixed.isEmpty():
         return sure
     again = passages.join(mixed, key, "left_semi")
     apart = again.join(again.groupBy(*key, "passage").agg(*_ends()).where("t0 < t1").drop("t0", "t1"), [*key, "passage"], "left_semi")
-    return sure.unionByName(apart.select(*place))
+    return sure.unionByName(apart.drop("passage", "windows"))
 
 
 def shared_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, k: int = ANCHOR, segment: int = SEGMENT) -> DataFrame:
@@ -251,17 +239,25 @@ def shared_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     )
     met = written(_beside(sketch.join(nodes, "node").withColumnRenamed("edge", "id").drop("node")), "met")
     forget(sketch)
-    seen = met.join(_degrees(met), "id")
-    asked = seen.where("branches and (t0 = t1 or tid = t0 or tid = t1)")
-    ranges = written(asked.groupBy("tid", "part").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")  # no longer than the text
-    held = docs.join(ranges, ["tid", "part"]).select("tid", "part", "text", "ranges")
-    kmers = written(held.mapInArrow(_kmers(span), "tid bigint, part int, lo int, id bigint, near bigint"), "kmers")
+    # Flags of a piece: 1 its k-mers are asked for, 2 it is met in two records, 4 one successor, 8 one predecessor.
+    asked, repeated = F.expr("branches and (t0 = t1 or tid = t0 or tid = t1)"), F.expr("t0 < t1")
+    flags = sum((F.when(c, bit).otherwise(0) for bit, c in ((1, asked), (2, repeated), (4, F.col("out")), (8, F.col("inn")))), F.lit(0)).alias("flags")
+    wanted = met.join(_degrees(met), "id").select("tid", "part", "lo", "hi", "id", flags).where("flags & 3 <> 0")
+    lists = written(wanted.groupBy("tid", "part").agg(F.collect_list(F.struct("lo", "hi", "id", "flags")).alias("pieces")), "pieces-of-texts")  # no longer than the text
+    held = docs.join(lists, ["tid", "part"]).select("tid", "part", "text", "pieces")  # the only time that texts move
+    pieces = written(held.mapInArrow(_cut_pieces(span), "tid bigint, part int, lo int, hi int, id bigint, flags int, passage string"), "pieces")
+    forget(met, lists)
+    kmers = written(pieces.where("flags & 1 <> 0").select("tid", "part", "lo", "passage").mapInArrow(_kmers(span), "tid bigint, part int, piece int, lo int, id bigint, near bigint"), "kmers")
     single = kmers.drop("near").join(_degrees(kmers).where("t0 < t1"), "id").withColumn("hi", F.col("lo"))
-    columns = ["tid", "part", "lo", "hi", "id", "out", "inn"]
-    pieces = seen.where("t0 < t1").select(F.lit(0).alias("kind"), *columns).unionByName(single.select(F.lit(1).alias("kind"), *columns))
-    paths = _by_text(_paths(pieces))
-    forget(met, ranges, kmers)
-    return _verified(docs, paths, span)
+    runs = written(_paths(single.select("tid", "part", "piece", "lo", "hi", "id", "out", "inn"), ("tid", "part", "piece")), "runs")
+    forget(kmers)
+    source = pieces.where("flags & 1 <> 0").select("tid", "part", F.col("lo").alias("piece"), F.col("passage").alias("around")).dropDuplicates(["tid", "part", "piece"])
+    part_of = F.substr("around", F.col("lo") - F.col("piece") + 1, F.col("hi") - F.col("lo") + span).alias("passage")
+    branching = runs.join(source, ["tid", "part", "piece"]).select("tid", "part", "lo", "hi", "path", part_of)
+    plain = pieces.where("flags & 2 <> 0").withColumn("path", F.col("id"))
+    proven = _verified(plain).select("tid", "part", "lo", "hi", "id", F.expr("flags & 4 <> 0").alias("out"), F.expr("flags & 8 <> 0").alias("inn"))
+    compact = _paths(proven, ("tid", "part")).select("tid", "part", "lo", "hi")
+    return compact.unionByName(_verified(branching).select("tid", "part", "lo", "hi"))
 
 
 def shared_characters(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, k: int = ANCHOR) -> DataFrame:

@@ -95,12 +95,12 @@ def test_planted_spans_are_all_found(spark, length):
 
 def test_characters_decide_where_hashes_agree(spark):
     """Different passages under one name and extent are told apart by their characters."""
-    from tallyweir.llm.spans import _by_text, _verified
+    from tallyweir.llm.spans import _verified
 
     a, b, c = "a" * 40, "b" * 40, "c" * 40
-    docs = spark.createDataFrame([(1, 0, a), (2, 0, b), (3, 0, b), (4, 0, c), (5, 0, c)], "tid bigint, part int, text string")
-    paths = spark.createDataFrame([(1, 0, 0, 10, 7), (2, 0, 0, 10, 7), (3, 0, 0, 10, 7), (4, 0, 0, 10, 8), (5, 0, 0, 10, 8)], "tid bigint, part int, lo int, hi int, path bigint")
-    assert sorted(r.tid for r in _verified(docs, _by_text(paths), 30).collect()) == [2, 3, 4, 5]
+    rows = [(1, 7, a), (2, 7, b), (3, 7, b), (4, 8, c), (5, 8, c), (6, 9, c)]
+    passages = spark.createDataFrame([(t, 0, 0, 10, p, x) for t, p, x in rows], "tid bigint, part int, lo int, hi int, path bigint, passage string")
+    assert sorted(r.tid for r in _verified(passages).collect()) == [2, 3, 4, 5]
 
 
 def test_paths_compact_to_few_runs(spark):
