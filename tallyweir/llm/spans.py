@@ -244,13 +244,16 @@ def shared_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     flags = sum((F.when(c, bit).otherwise(0) for bit, c in ((1, asked), (2, repeated), (4, F.col("out")), (8, F.col("inn")))), F.lit(0)).alias("flags")
     wanted = met.join(_degrees(met), "id").select("tid", "part", "lo", "hi", "id", flags).where("flags & 3 <> 0")
     lists = written(wanted.groupBy("tid", "part").agg(F.collect_list(F.struct("lo", "hi", "id", "flags")).alias("pieces")), "pieces-of-texts")  # no longer than the text
-    held = docs.join(lists, ["tid", "part"]).select("tid", "part", "text", "pieces")  # the only time that texts move
+    # Names of the texts wanted, a small table: where Spark finds it small enough to broadcast, only those texts
+    # move; where not, texts move once, as both joins have the same keys.
+    names = written(lists.select("tid", "part"), "names-of-texts")
+    held = docs.join(names, ["tid", "part"], "left_semi").join(lists, ["tid", "part"]).select("tid", "part", "text", "pieces")
     pieces = written(held.mapInArrow(_cut_pieces(span), "tid bigint, part int, lo int, hi int, id bigint, flags int, passage string"), "pieces")
-    forget(met, lists)
-    kmers = written(pieces.where("flags & 1 <> 0").select("tid", "part", "lo", "passage").mapInArrow(_kmers(span), "tid bigint, part int, piece int, lo int, id bigint, near bigint"), "kmers")
+    forget(met, lists, names)
+    # Computed twice, once for the degrees and once for the places: cheaper than to write them.
+    kmers = pieces.where("flags & 1 <> 0").select("tid", "part", "lo", "passage").mapInArrow(_kmers(span), "tid bigint, part int, piece int, lo int, id bigint, near bigint")
     single = kmers.drop("near").join(_degrees(kmers).where("t0 < t1"), "id").withColumn("hi", F.col("lo"))
     runs = written(_paths(single.select("tid", "part", "piece", "lo", "hi", "id", "out", "inn"), ("tid", "part", "piece")), "runs")
-    forget(kmers)
     source = pieces.where("flags & 1 <> 0").select("tid", "part", F.col("lo").alias("piece"), F.col("passage").alias("around")).dropDuplicates(["tid", "part", "piece"])
     part_of = F.substr("around", F.col("lo") - F.col("piece") + 1, F.col("hi") - F.col("lo") + span).alias("passage")
     branching = runs.join(source, ["tid", "part", "piece"]).select("tid", "part", "lo", "hi", "path", part_of)
