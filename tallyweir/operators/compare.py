@@ -36,20 +36,38 @@ def shared_frames(facts: DataFrame, ciks: list[str], periods: int) -> DataFrame:
     return best.join(F.broadcast(frames.select("frame", "pos")), "frame")  # at most `periods` rows
 
 
-def nearest_instant(targets: DataFrame, instants: DataFrame, most_days: int) -> DataFrame:
+def nearest_instant(targets: DataFrame, instants: DataFrame, bucket_days: int) -> DataFrame:
     """Each target with the instant closest to its end; one after the end counts
-    three times its distance. Pairs farther than ``most_days`` are never formed:
-    both sides are cut into buckets of that length.
+    three times its distance.
+
+    Both sides are cut into buckets of ``bucket_days``, so that a filer of very many
+    periods is spread. Targets with no instant in the buckets around them, of which
+    there are few, are looked for in a sorted pass over their filer's instants: the
+    last one before and the first one after are the only candidates.
 
     ``targets(cik, end, val)``, ``instants(cik, at, instant_val)``.
     """
-    bucket = lambda c: F.floor(F.unix_date(c) / most_days)
-    near = instants.withColumn("bucket", F.explode(F.array(*[bucket(F.col("at")) + i for i in (-1, 0, 1)])))
+    bucket = lambda c: F.floor(F.unix_date(c) / bucket_days)
+    near = instants.withColumn("bucket", F.explode(F.array(*[bucket(F.col("at")) + i for i in range(-3, 2)])))
     days = F.date_diff("end", "at")
     score = F.when(days >= 0, days).otherwise(-3 * days)
-    pairs = targets.withColumn("bucket", bucket(F.col("end"))).join(near, ["cik", "bucket"]).where(F.abs(days) <= most_days)
+    # Within three buckets before and one after, nothing farther off can score less than a bucket's length.
+    pairs = targets.withColumn("bucket", bucket(F.col("end"))).join(near, ["cik", "bucket"]).where(score <= bucket_days)
     best = pairs.groupBy("cik", "end").agg(F.min_by(F.struct("at", "instant_val"), F.struct(score, "at")).alias("b"), F.min(score).alias("score"))
-    return targets.join(best, ["cik", "end"], "left").select("cik", "end", "val", F.col("b.at").alias("at"), F.col("b.instant_val").alias("instant_val"), "score")
+    lone = targets.join(best, ["cik", "end"], "left_anti").select("cik", "end")
+    none = F.lit(None)
+    mark = F.struct(F.col("at"), F.col("instant_val"))
+    kinds = instants.schema["instant_val"].dataType
+    line = lone.select("cik", F.col("end").alias("day"), "end", none.cast("date").alias("at"), none.cast(kinds).alias("instant_val")).unionByName(
+        instants.join(lone.select("cik").distinct(), "cik", "left_semi").select("cik", F.col("at").alias("day"), none.cast("date").alias("end"), "at", "instant_val")
+    )
+    order = W.partitionBy("cik").orderBy("day")
+    at = F.when(F.col("at").isNotNull(), mark)
+    sides = line.withColumns({"was": F.last(at, True).over(order), "will": F.first(at, True).over(order.rangeBetween(W.currentRow, W.unboundedFollowing))}).where("`end` is not null and at is null")
+    either = sides.select("cik", "end", F.explode(F.array_compact(F.array("was", "will"))).alias("b")).withColumns({"at": F.col("b.at")})
+    far = either.groupBy("cik", "end").agg(F.min_by("b", F.struct(score, "at")).alias("b"), F.min(score).alias("score"))
+    found = best.unionByName(far)
+    return targets.join(found, ["cik", "end"], "left").select("cik", "end", "val", F.col("b.at").alias("at"), F.col("b.instant_val").alias("instant_val"), "score")
 
 
 def amendment_pairs(filings: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def document_text(content: Column | str) -> Column:
     lined = F.regexp_replace(flat, rf"(?i)</?(?:{_one_of(BLOCKS)})(?=[\s>/])[^>]*>", _BREAK)
     spaced = F.regexp_replace(lined, rf"(?i)</?(?:{_one_of(CELLS)})(?=[\s>/])[^>]*>", " ")
     bare = unescaped(F.regexp_replace(spaced, r"<[/!?a-zA-Z][^>]*>", ""))
-    is_markup = F.substring(body, 1, 4000).rlike(MARKUP)
+    is_markup = body.rlike(MARKUP)
     blocks = F.when(is_markup, F.split(bare, _BREAK)).otherwise(F.split(body, r"\n[ \t\r]*\n"))
     return F.array_join(F.filter(F.transform(blocks, normalised), lambda b: b != ""), "\n\n")
 

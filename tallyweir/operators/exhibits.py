@@ -37,5 +37,5 @@ def direct_url(url: Column, hosts: list[str]) -> Column:
 
 def readable_body(body: Column) -> Column:
     """Whether a fetched body is a document: not empty, not a viewer's shell."""
-    head = F.lower(F.substring(body, 1, 2000))
-    return F.coalesce((F.trim(body) != "") & ~F.contains(head, F.lit("loadviewer")) & ~F.contains(head, F.lit("ixvframe")), F.lit(False))
+    low = F.lower(body)
+    return F.coalesce((F.trim(body) != "") & ~F.contains(low, F.lit("loadviewer")) & ~F.contains(low, F.lit("ixvframe")), F.lit(False))

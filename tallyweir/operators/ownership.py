@@ -48,6 +48,15 @@ def holders(holdings: DataFrame) -> DataFrame:
     return holdings.groupBy("cusip").agg(F.count_distinct("filer").alias("filers"), F.sum(dec("shares")).cast("double").alias("shares"), *kinds)
 
 
+def filer_rollup(holdings: DataFrame) -> DataFrame:
+    """Per filer: positions, securities, shares and value, split by kind of position."""
+    dec = lambda c: F.col(c).cast("decimal(38,2)")
+    kinds = [F.sum(F.when(F.col("put_call") == k, dec("value"))).cast("double").alias(f"{k}_value") for k in ("call", "put", "share")]
+    per = holdings.groupBy("filer", "cusip").agg(F.count(F.lit(1)).alias("n"), *[F.sum(dec(c)).alias(c) for c in ("shares", "value")])
+    totals = per.groupBy("filer").agg(F.sum("n").alias("positions"), F.count(F.lit(1)).alias("securities"), F.sum("shares").cast("double").alias("shares"), F.sum("value").cast("double").alias("value"))
+    return totals.join(holdings.groupBy("filer").agg(*kinds), "filer")
+
+
 def insider_rollup(transactions: DataFrame) -> DataFrame:
     """Per owner and code, and per owner over all codes (code NULL): number, value
     acquired and disposed, net."""

@@ -48,7 +48,7 @@ def compare_frames(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"""WITH {FACTS_SQL}, t AS (SELECT cik, "end", arg_max(val, (filed, fact_id)) AS val FROM f WHERE tag = 'netincomeloss' AND unit = 'usd' AND start IS NOT NULL GROUP BY cik, "end"),
 i AS (SELECT cik, "end" AS day, arg_max(val, (filed, fact_id)) AS instant_val FROM f WHERE tag = 'assets' AND unit = 'usd' GROUP BY cik, "end"),
 p AS (SELECT t.cik, t."end", t.val, i.day, i.instant_val, CASE WHEN date_diff('day', day, t."end") >= 0 THEN date_diff('day', day, t."end") ELSE -3 * date_diff('day', day, t."end") END AS score
-  FROM t LEFT JOIN i ON t.cik = i.cik AND abs(date_diff('day', day, t."end")) <= 400)
+  FROM t LEFT JOIN i ON t.cik = i.cik)
 SELECT cik, "end", val, day AS "at", instant_val, score::INT AS score FROM p QUALIFY row_number() OVER (PARTITION BY cik, "end" ORDER BY score, day) = 1""")
 def nearest_instant(spark: SparkSession, d: str) -> DataFrame:
     f = _facts(spark, d).where("unit = 'usd'")
@@ -148,6 +148,13 @@ def holders_rollup(spark: SparkSession, d: str) -> DataFrame:
     return H.holders(_holdings(spark, d))
 
 
+@_query(f"""WITH {_H_SQL} SELECT filer, count(*) AS positions, count(DISTINCT cusip) AS securities, sum(shares::DECIMAL(38,2))::DOUBLE AS shares, sum(value::DECIMAL(38,2))::DOUBLE AS value,
+sum(value::DECIMAL(38,2)) FILTER (WHERE put_call = 'call')::DOUBLE AS call_value, sum(value::DECIMAL(38,2)) FILTER (WHERE put_call = 'put')::DOUBLE AS put_value,
+sum(value::DECIMAL(38,2)) FILTER (WHERE put_call = 'share')::DOUBLE AS share_value FROM h GROUP BY filer""")
+def filer_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return H.filer_rollup(_holdings(spark, d))
+
+
 @_query(f"""WITH {_H_SQL}, n AS (SELECT DISTINCT p_partkey AS cusip FROM part WHERE contains(lower(p_name), regexp_replace('red widget, inc.', ',?\\s+(inc|corp|co|ltd|llc|plc)\\.?$', '')))
 SELECT filer, count(*) AS positions, sum(value::DECIMAL(38,2))::DOUBLE AS value FROM h SEMI JOIN n USING (cusip) GROUP BY filer""")
 def holders_by_name(spark: SparkSession, d: str) -> DataFrame:
