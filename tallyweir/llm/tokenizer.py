@@ -201,7 +201,7 @@ class Vocabulary:
 
     def merge(self, left: int, right: int) -> int:
         """Id of the merged pair, -1 if there is none."""
-        key = left << 17 | right
+        key = left << 32 | right
         got = self.merges.get(key)
         if got is None:
             got = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
@@ -219,7 +219,7 @@ class Vocabulary:
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         seen, merge, heap = self.merges, self.merge, []
         for i in range(n - 1):
-            m = seen.get(ids[i] << 17 | ids[i + 1])
+            m = seen.get(ids[i] << 32 | ids[i + 1])
             if m is None:
                 m = merge(ids[i], ids[i + 1])
             if m >= 0:
@@ -232,21 +232,21 @@ class Vocabulary:
             j = after[i]
             if ids[i] < 0 or j >= n:
                 continue
-            now = seen.get(ids[i] << 17 | ids[j])
+            now = seen.get(ids[i] << 32 | ids[j])
             if (now if now is not None else merge(ids[i], ids[j])) != m:
                 continue  # one of the two has been merged since
             k = after[j]
             ids[i], ids[j], after[i] = m, -1, k
             if k < n:
                 before[k] = i
-                x = seen.get(m << 17 | ids[k])
+                x = seen.get(m << 32 | ids[k])
                 if x is None:
                     x = merge(m, ids[k])
                 if x >= 0:
                     push(heap, x << 32 | i)
             h = before[i]
             if h >= 0:
-                x = seen.get(ids[h] << 17 | m)
+                x = seen.get(ids[h] << 32 | m)
                 if x is None:
                     x = merge(ids[h], m)
                 if x >= 0:

@@ -68,3 +68,10 @@ def test_rows(spark):
     assert got == [(0, [87]), (1, [15496, 995]), (1, [15496, 995]), (2, []), (3, [])]
     assert sorted((r.doc_id or 0, r.n_tokens) for r in T.token_counts(docs).collect()) == [(0, 1), (1, 2), (1, 2), (2, 0), (3, 0)]
     assert T.encoded(docs.limit(0)).count() == 0
+
+
+def test_pairs_of_large_ids_are_told_apart():
+    """Keys of pairs leave no room for two pairs to meet, whatever the vocabulary's size."""
+    v = T.vocabulary()
+    assert len({(a << 32 | b) for a in (1, 2, 1 << 18, (1 << 18) + 1) for b in (0, 1 << 17, 1 << 18, (1 << 31) - 1)}) == 16
+    assert v.merge(v.byte_ids[ord("t")], v.byte_ids[ord("h")]) == v.ranks[b"th"]
