@@ -6,11 +6,11 @@ import html
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tallyweir.functions.texts import normalised
+from tallyweir.functions.texts import normalised, snippet
 
 # Elements that hide their content, break a line, or part cells.
 HIDDEN = ("script", "style", "head", "title", "noscript", "ix:header")
@@ -129,3 +129,46 @@ def phrase_hits(index: DataFrame, phrase: str) -> DataFrame:
     postings = index.where(F.col("token").isin(*set(words))).select("doc_id", "pos", "token", offsets).where("token = o.word")
     starts = postings.groupBy("doc_id", (F.col("pos") - F.col("o.offset")).alias("start")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(words))
     return starts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
+#: Parts of a written index; a search reads the parts its words fall in.
+INDEX_PARTS = 64
+
+
+def _part(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(INDEX_PARTS)).cast("int")
+
+
+def write_index(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
+    """The inverted index of ``documents`` as a table at ``path``, by parts of the
+    vocabulary. A word that makes up much of all texts is spread over several files
+    of its part."""
+    rows = token_index(documents, doc_id, text).withColumn("part", _part(F.col("token")))
+    spread_ = rows.repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    spread_.sortWithinPartitions("token", "doc_id", "pos").write.mode("error").partitionBy("part").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, phrase: str) -> DataFrame:
+    """The postings a phrase can need: its words' parts, pruned by folder, and in
+    them the words, pruned by the statistics of sorted files."""
+    words = sorted(set(re.findall(r"[a-z0-9]+", phrase.lower())))
+    if not words:
+        raise ValueError("the phrase has no word")
+    parts = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(_part(F.col("w"))).collect()]  # one a word
+    index = spark.read.schema("doc_id bigint, pos int, token string, part int").parquet(path)
+    return index.where(F.col("part").isin(*parts) & F.col("token").isin(*words)).drop("part")
+
+
+def search(postings: DataFrame, documents: DataFrame, phrase: str, forms: tuple[str, ...] = (), since: str | None = None, until: str | None = None, width: int = 200) -> DataFrame:
+    """``doc_id, form, filed, hits, snippet``: texts that hold the phrase, newest first,
+    of the forms and days asked for. The snippet is NULL where the words stand apart
+    by other marks than one blank."""
+    kept = documents
+    if forms:
+        kept = kept.where(F.col("form").isin(*forms))
+    if since:
+        kept = kept.where(F.col("filed") >= since)
+    if until:
+        kept = kept.where(F.col("filed") <= until)
+    found = kept.join(phrase_hits(postings, phrase), "doc_id")
+    return found.select("doc_id", "form", "filed", "hits", snippet(F.col("text"), phrase, width).alias("snippet")).orderBy(F.desc_nulls_last("filed"), "doc_id")

@@ -12,12 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweir.functions.aliases import alias_table
+from tallyweir.operators.facts import available
+from tallyweir.functions.instants import parse_day, parse_instant
+from tallyweir.functions.keys import accession_18, cik_number
 from tallyweir.functions.metrics import METRICS, value
 from tallyweir.operators import facts as O
 from tallyweir.operators import series as S
 from tallyweir.operators.compare import nearest_instants, pivot_aliases
 from tallyweir.plans import series as P
-from tallyweir.plans.facts import ALIASED_SQL, FACTS_SQL, TYPE_SQL, _facts
+from tallyweir.plans.facts import ALIASED_SQL, CUTOFF, FACTS_SQL, TYPE_SQL, _facts
+from tallyweir.plans.pipeline import parts_sql
+from tallyweir.sources.tables import table
 
 QUERIES, SQL = {}, {}
 
@@ -146,3 +151,27 @@ def facts_ttm(spark: SparkSession, d: str) -> DataFrame:
     """The last twelve months of every filer and flow: four quarters that follow one
     another where there are, else the year with its stubs."""
     return S.ttm(fact_series(spark, d, "quarterly"), fact_series(spark, d, "annual"), fact_series(spark, d, "ytd"))
+
+
+_SUBS = "SELECT 'acceptancedatetime' AS tbl, sub_id AS row_id, 'a' AS fld, acceptancedatetime AS raw FROM submissions UNION ALL SELECT 'filingdate', sub_id, 'f', filingdate FROM submissions"
+
+
+@_query(rf"""WITH {parts_sql(_SUBS).strip()},
+m AS (SELECT replace(trim(accessionnumber), '-', '') AS accession, lpad(regexp_replace(regexp_extract(cik, '([0-9]+)', 1), '^0+([0-9])', '\1'), 10, '0') AS cik, sub_id FROM submissions
+  WHERE regexp_full_match(replace(trim(accessionnumber), '-', ''), '[0-9]{{18}}') AND replace(trim(accessionnumber), '-', '') <> '000000000000000000' AND regexp_extract(cik, '([0-9]+)', 1) <> ''),
+s AS (SELECT cik, accession, min(a.utc) AS accepted, min(f.day) AS filed FROM m LEFT JOIN days a ON a.row_id = sub_id AND a.tbl = 'acceptancedatetime' LEFT JOIN days f ON f.row_id = sub_id AND f.tbl = 'filingdate' GROUP BY cik, accession)
+SELECT cik, count(*) AS filings, count(*) FILTER (WHERE CASE WHEN accepted IS NOT NULL THEN accepted <= TIMESTAMP '{CUTOFF}' ELSE coalesce(filed < DATE '{CUTOFF[:10]}' - 1, false) END) AS public_filings,
+count(*) FILTER (WHERE accepted IS NULL) AS by_day, count(*) FILTER (WHERE accepted IS NULL AND filed IS NULL) AS unplaced, max(accepted) FILTER (WHERE accepted <= TIMESTAMP '{CUTOFF}') AS last_accepted FROM s GROUP BY cik""")
+def replay_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What of each filer's list was public at the cutoff, over all fetched entries, and
+    how well that is known: filings placed by their day alone, and not at all."""
+    s = table(spark, d, "submissions").select(
+        F.lpad(cik_number("cik"), 10, "0").alias("cik"), accession_18("accessionnumber").alias("accession"),
+        parse_instant(F.col("acceptancedatetime").cast("string")).alias("accepted"), parse_day(F.col("filingdate").cast("string")).alias("filed"),
+    ).where("cik is not null and accession is not null").groupBy("cik", "accession").agg(F.min("accepted").alias("accepted"), F.min("filed").alias("filed"))
+    public = available(F.col("filed"), F.col("accepted"), F.lit(CUTOFF).cast("timestamp"), True)
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    return s.groupBy("cik").agg(
+        F.count(F.lit(1)).alias("filings"), n(public, "public_filings"), n(F.col("accepted").isNull(), "by_day"), n(F.col("accepted").isNull() & F.col("filed").isNull(), "unplaced"),
+        F.max(F.when(F.col("accepted") <= F.lit(CUTOFF).cast("timestamp"), F.col("accepted"))).alias("last_accepted"),
+    )

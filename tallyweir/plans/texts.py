@@ -12,7 +12,7 @@ from tallyweir.operators import events as E
 from tallyweir.operators import evidence as V
 from tallyweir.operators.incremental import bodies
 from tallyweir.plans.facts import FILINGS_SQL, filings
-from tallyweir.session import spread
+from tallyweir.session import fresh_path, spread
 from tallyweir.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -61,6 +61,23 @@ def accession_extract(spark: SparkSession, d: str) -> DataFrame:
     return f.select("delivery_id", F.regexp_extract("filing_url", r"/([0-9]{18})/", 1).alias("accession"), F.regexp_extract("filing_url", r"/data/([0-9]+)/", 1).alias("cik"))
 
 
+@_query("""SELECT doc_id, substring(text, greatest(1, instr(lower(text), 'going concern') - 50), 200) AS snippet FROM documents WHERE instr(lower(text), 'going concern') > 0""")
+def going_concern_mentions(spark: SparkSession, d: str) -> DataFrame:
+    found = snippet(F.col("text"), "going concern", 200)
+    return _docs(spark, d).select("doc_id", found.alias("snippet")).where("snippet is not null")
+
+
+@_query(r"""WITH t AS (SELECT doc_id, form, filed, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL AND filed >= DATE '2018-01-01'),
+h AS (SELECT *, len(list_filter(range(1, len(w)), lambda i: w[i] = 'registration' AND w[i + 1] = 'statement')) AS hits FROM t)
+SELECT doc_id, form, filed, hits, CASE WHEN instr(lower(text), 'registration statement') > 0 THEN substring(text, greatest(1, instr(lower(text), 'registration statement') - 50), 200) END AS snippet FROM h WHERE hits > 0""")
+def body_search(spark: SparkSession, d: str) -> DataFrame:
+    """A phrase looked up in a written index, with form, day and snippet, newest first."""
+    path = fresh_path(spark, "index")
+    D.write_index(_docs(spark, d), path)
+    docs = table(spark, d, "documents").select("doc_id", "form", "filed", "text")
+    return D.search(D.read_index(spark, path, "registration statement"), docs, "registration statement", since="2018-01-01")
+
+
 @_query()
 def going_concern(spark: SparkSession, d: str) -> DataFrame:
     """The sentence in which a text doubts the going concern."""
