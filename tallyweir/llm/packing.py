@@ -257,7 +257,7 @@ def packed(histogram: dict[int, int], capacity: int = CAPACITY) -> Packing:
     weighted.fill_exactly()
     first.fill_exactly()
     best.best_fit()
-    used, _, how, rows = min((p.used, i, how, p.rows) for i, (p, how) in enumerate(((weighted, "weights"), (first, "first columns"), (best, "best fit"))))
+    used, _, how, rows = min((p.used, i, how, p.rows) for i, (p, how) in enumerate(((first, "first columns"), (weighted, "weights"), (best, "best fit"))))
     total = sum(x * n for x, n in sound.items())
     return Packing(rows, used, max(-(-total // capacity), int(np.ceil(found.bound * (1 - 1e-9)))), how)
 
