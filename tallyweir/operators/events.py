@@ -209,13 +209,15 @@ def text_events(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     hits = rows.select("doc_id", "source", "pos", "sentence", recap.alias("background"), F.explode(found).alias("event_type"))
     order = F.struct(F.col("source") != "body", F.col("background"), F.length("sentence") < INFORMATIVE, F.col("pos"))
     best = hits.groupBy("doc_id", "event_type").agg(F.min_by(F.struct("source", "pos", "sentence", "background"), order).alias("b")).select("doc_id", "event_type", "b.*")
-    body = F.col("source") == "body"
-    per_doc = best.groupBy("doc_id").agg(
-        F.max(body & ~F.col("background")).alias("fresh"), F.max(body).alias("told"),
-        F.collect_set(F.when(F.col("event_type") != "material_agreement", F.struct("source", "pos"))).alias("specific"),
-    )  # at most one entry per saying
-    kept = best.join(per_doc, "doc_id").where(body | ~F.col("told")).where("not (fresh and background)")
-    kept = kept.where((F.col("event_type") != "material_agreement") | ~F.array_contains("specific", F.struct("source", "pos")))
+    whole = best.groupBy("doc_id").agg(F.collect_list(F.struct("event_type", "source", "pos", "sentence", "background")).alias("all"))  # at most one a saying
+
+    def kept_of(every: Column) -> Column:
+        told = F.exists(every, lambda x: x["source"] == "body")
+        fresh = F.exists(every, lambda x: (x["source"] == "body") & ~x["background"])
+        general = lambda x: (x["event_type"] == "material_agreement") & F.exists(every, lambda y: (y["event_type"] != "material_agreement") & (y["source"] == x["source"]) & (y["pos"] == x["pos"]))
+        return F.filter(every, lambda x: ((x["source"] == "body") | ~told) & ~(fresh & x["background"]) & ~general(x))
+
+    kept = whole.select("doc_id", F.explode(kept_of(F.col("all"))).alias("x")).select("doc_id", "x.*")
     place = F.lit(1)
     for e in EVENTS:
         place = F.when(F.col("event_type") == e.name, e.place(s)).otherwise(place)
