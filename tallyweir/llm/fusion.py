@@ -12,8 +12,9 @@ aggregations alone, to a histogram of such patterns. No group is ever gathered i
 one task. A histogram of up to ``HERE`` patterns is fitted on the driver, a longer
 one by one aggregation a round; both take the same step.
 
-Where an order of sources is declared and complete, as ``best_sources`` has it,
-nothing is left for a model to decide, and none is fitted.
+``best_sources`` picks among the same judged values. The order it is given is
+declared and complete, so it comes before the posterior and no posterior can
+change a pick; ``picked`` tells of each pick how likely the model holds it true.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweir.functions.keys import accession_18, cik_number, context_key, tag_key, unit_key
-from tallyweir.session import spread, written
+from tallyweir.session import forget, spread, written
 
 #: The fields of a fused fact.
 FIELDS = ("val", "accession", "filed", "end_date")
@@ -227,10 +228,37 @@ def learn(rows: DataFrame, origins: DataFrame) -> SourceQuality:
     words = _words(sources)
     found = written(patterns(claims(rows, sources), words), "histogram")
     here = found.limit(HERE + 1).collect()
-    if len(here) > HERE:
-        return fit_table(found, sources, trust)
     whole = lambda r, kind: sum(r[f"{kind}{w}"] << WORD * w for w in words)
-    return fit([(r["field"], whole(r, "cover"), whole(r, "mask"), r["n"]) for r in here], sources, trust)
+    q = fit_table(found, sources, trust) if len(here) > HERE else fit([(r["field"], whole(r, "cover"), whole(r, "mask"), r["n"]) for r in here], sources, trust)
+    forget(found)
+    return q
+
+
+def _order(trust: Column) -> Column:
+    """The declared order as one number of fixed width: highest ``trust``, then the
+    latest ``filed`` (null last), then the largest ``fact_id``."""
+    rank = (trust.cast("bigint") + F.lit(1 << 31)).cast("string")  # ten digits at most
+    days = F.coalesce(F.date_diff("filed", F.lit("0001-01-01").cast("date")) + 1, F.lit(0))
+    high = F.col("fact_id").cast("decimal(19,0)") + F.expr("9223372036854775808BD")
+    return F.concat(rank, F.lpad(days.cast("string"), 8, "0"), F.lpad(high.cast("string"), 20, "0")).cast("decimal(38,0)")
+
+
+def picked(facts: DataFrame, origins: DataFrame) -> DataFrame:
+    """``group_id`` and, of each field, the ``fact_id`` it is taken from (``val_id,
+    accession_id, filed_id, end_id``; -1 where none is usable) with the posterior of
+    the value stated there (``val_posterior, ...``; NULL where none is usable), of
+    each group of two or more rows.
+
+    Of the judged values of a field the one of the best row by declared order is
+    taken, then the one most likely true. The order ends in ``fact_id``, so it is
+    the order that decides. Choices are maxima that combine partially: a group that
+    holds a third of all rows is never gathered.
+    """
+    best = F.struct("order", "posterior")
+    picks = {"val_id": "val", "accession_id": "accession", "filed_id": "filed", "end_id": "end_date"}
+    chosen = judged(facts, origins).groupBy("group_id", "g1").agg(*[F.max(F.when(F.col("field") == i, best)).alias(f) for i, f in enumerate(FIELDS)])
+    back = lambda f: F.expr(f"cast({f}.order % 100000000000000000000 - 9223372036854775808 as bigint)")
+    return chosen.select("group_id", *[c for o, f in picks.items() for c in (F.coalesce(back(f), F.lit(-1).cast("bigint")).alias(o), F.col(f"{f}.posterior").alias(f"{f}_posterior"))])
 
 
 def best_sources(facts: DataFrame, origins: DataFrame) -> DataFrame:
@@ -239,26 +267,12 @@ def best_sources(facts: DataFrame, origins: DataFrame) -> DataFrame:
 
     Sources come in the declared order: highest ``trust`` (0 for null and
     undeclared origins), then the latest ``filed`` (null last), then the largest
-    ``fact_id``. That order leaves no tie, so no learned weight could change a
-    pick. It is one number of fixed width, so the choice is a maximum that
-    combines partially: a group that holds a third of all rows costs one row per task.
+    ``fact_id``; see ``picked``.
 
     Rows without filer number, tag, unit, context or fact_id belong to no group;
     repeated rows count; an empty table has no groups.
     """
-    trusted = prepared(facts).join(_trust(origins), "origin", "left")
-    rank = (F.coalesce(F.col("trust"), F.lit(0)).cast("bigint") + F.lit(1 << 31)).cast("string")  # ten digits at most
-    days = F.coalesce(F.date_diff("filed", F.lit("0001-01-01").cast("date")) + 1, F.lit(0))
-    high = F.col("fact_id").cast("decimal(19,0)") + F.expr("9223372036854775808BD")
-    order = F.concat(rank, F.lpad(days.cast("string"), 8, "0"), F.lpad(high.cast("string"), 20, "0")).cast("decimal(38,0)")
-    picks = {"val_id": "val", "accession_id": "accession", "filed_id": "filed", "end_id": "end_date"}
-    grouped = (
-        trusted.withColumn("order", order).groupBy("cik", "tag", "unit", "context")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("fact_id").alias("group_id"), *[F.max(F.when(F.col(f).isNotNull(), F.col("order"))).alias(o) for o, f in picks.items()])
-        .where("n > 1")
-    )
-    back = [F.coalesce(F.expr(f"cast({o} % 100000000000000000000 - 9223372036854775808 as bigint)"), F.lit(-1).cast("bigint")).alias(o) for o in picks]
-    return grouped.select("group_id", *back)
+    return picked(facts, origins).select("group_id", "val_id", "accession_id", "filed_id", "end_id")
 
 
 def source_quality(facts: DataFrame, origins: DataFrame) -> DataFrame:
@@ -273,9 +287,11 @@ def source_quality(facts: DataFrame, origins: DataFrame) -> DataFrame:
 
 
 def judged(facts: DataFrame, origins: DataFrame) -> DataFrame:
-    """``group_id, field, value, posterior, trust, filed, fact_id`` of every value
-    stated in a group of two or more rows, ``field`` as its number; the last
-    three are those of the best row by declared order that states it."""
+    """``group_id, g1, field, value, posterior, order`` of every value stated in a
+    group of two or more rows, ``field`` as its number; ``order`` is the place of the
+    best row by declared order that states it. Rows that state nothing usable leave
+    one row of their group with field NULL. ``g1`` tells groups apart that share a
+    smallest ``fact_id``."""
     rows = prepared(facts)
     q = learn(rows, origins)
     words = _words(q.sources)
@@ -284,7 +300,7 @@ def judged(facts: DataFrame, origins: DataFrame) -> DataFrame:
     trust = F.when(F.lit(False), F.lit(0))
     for name, t in list(zip(q.sources, q.trust, strict=True))[1:]:
         trust = trust.when(F.col("origin") == name, F.lit(t))
-    keyed = rows.select(*group, "fact_id", *_bits(q.sources), trust.otherwise(0).alias("trust"), *FIELDS)
+    keyed = rows.select(*group, "fact_id", *_bits(q.sources), _order(trust.otherwise(0)).alias("order"), *FIELDS)
     none = F.lit(0).cast("bigint")
     covers = [F.array(*[F.coalesce(F.bit_or(F.when(F.col(f).isNotNull(), F.col(f"bit{w}"))), none) for f in FIELDS]).alias(f"covers{w}") for w in words]
     groups = keyed.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min("fact_id").alias("group_id"), *covers).where("n > 1").drop("n")
@@ -292,11 +308,10 @@ def judged(facts: DataFrame, origins: DataFrame) -> DataFrame:
         F.when(F.col(f).isNotNull(), F.struct(F.lit(i).alias("field"), F.col(f).cast("string").alias("value"), *[F.get(f"covers{w}", F.lit(i)).alias(f"cover{w}") for w in words]))
         for i, f in enumerate(FIELDS)
     ]
-    place = F.max(F.struct("trust", "filed", "fact_id")).alias("row")
     found = (
         keyed.join(groups, ["g1", "g2"])
-        .select("group_id", *[f"bit{w}" for w in words], "trust", "filed", "fact_id", F.explode(F.array_compact(F.array(*stated))).alias("c"))
-        .groupBy("group_id", "c.field", "c.value", *[F.col(f"c.cover{w}") for w in words]).agg(*_or("mask", words, "bit"), place)
+        .select("group_id", "g1", *[f"bit{w}" for w in words], "order", F.explode_outer(F.array_compact(F.array(*stated))).alias("c"))
+        .groupBy("group_id", "g1", "c.field", "c.value", *[F.col(f"c.cover{w}") for w in words]).agg(*_or("mask", words, "bit"), F.max("order").alias("order"))
     )
     odds = F.lit(0.0)
     for i in range(len(FIELDS)):
@@ -306,7 +321,7 @@ def judged(facts: DataFrame, origins: DataFrame) -> DataFrame:
             yes, no = float(q.weight()[i, j]), float(np.log1p(-q.sensitivity[i, j]) - np.log(q.specificity[i, j]))
             side = side + F.when(has("mask"), F.lit(yes)).when(has("cover"), F.lit(no)).otherwise(F.lit(0.0))
         odds = F.when(F.col("field") == i, side).otherwise(odds)
-    return found.select("group_id", "field", "value", (1 / (1 + F.exp(-odds))).alias("posterior"), "row.*")
+    return found.select("group_id", "g1", "field", "value", (1 / (1 + F.exp(-odds))).alias("posterior"), "order")
 
 
 def true_values(facts: DataFrame, origins: DataFrame, least: float = 0.5) -> DataFrame:
@@ -316,7 +331,7 @@ def true_values(facts: DataFrame, origins: DataFrame, least: float = 0.5) -> Dat
     Values are text: ``val`` as Spark writes a double, dates as yyyy-MM-dd.
     """
     names = F.array(*[F.lit(f) for f in FIELDS])
-    return judged(facts, origins).where(F.col("posterior") >= least).select("group_id", F.get(names, F.col("field")).alias("field"), "value", "posterior")
+    return judged(facts, origins).where((F.col("posterior") >= least) & F.col("field").isNotNull()).select("group_id", F.get(names, F.col("field")).alias("field"), "value", "posterior")
 
 
 def best_records(facts: DataFrame, origins: DataFrame) -> DataFrame:
@@ -329,7 +344,7 @@ def best_records(facts: DataFrame, origins: DataFrame) -> DataFrame:
     ``true_values``.
     """
     # Rounded, so that sums of logarithms in another order break no tie.
-    best = F.struct(F.round("posterior", 9).alias("posterior"), "trust", "filed", "fact_id", "value")
+    best = F.struct(F.round("posterior", 9).alias("posterior"), "order", "value")
     picks = [F.max(F.when(F.col("field") == i, best)).alias(f) for i, f in enumerate(FIELDS)]
     out = [c for f in FIELDS for c in (F.col(f"{f}.value").alias(f), F.col(f"{f}.posterior").alias(f"{f}_posterior"))]
-    return judged(facts, origins).groupBy("group_id").agg(*picks).select("group_id", *out)
+    return judged(facts, origins).where("field is not null").groupBy("group_id").agg(*picks).select("group_id", *out)

@@ -148,3 +148,36 @@ def test_several_values_can_be_true(spark):
     origins = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "origin string, trust int")
     got = U.true_values(df, origins).where("field = 'val'").groupBy("group_id").count().groupBy("count").count().collect()
     assert {r[0]: r[1] for r in got} == {1: 30, 2: 30}
+
+
+def test_picks_come_from_the_judged_values(spark):
+    """The declared order names the row, the model says how likely its value is true."""
+    rows = []
+    for g in range(200):
+        said = [("liar", float(g) if g % 10 == 0 else -1.0 - g), ("b", float(g)), ("c", float(g)), ("d", float(g))]
+        rows += [(4 * g + i, str(g), "t", "u", "c", v, None, None, None, s, 0, 0) for i, (s, v) in enumerate(said)]
+    facts = spark.createDataFrame(rows, SCHEMA)
+    origins = spark.createDataFrame([("liar", 99), ("b", 1), ("c", 1), ("d", 1)], "origin string, trust int")
+    got = U.picked(facts, origins).collect()
+    assert {(r.group_id, r.val_id) for r in got} == {(4 * g, 4 * g) for g in range(200)}
+    assert all((r.val_posterior > 0.5) == (r.group_id % 40 == 0) for r in got)
+    assert all(r.filed_id == -1 and r.filed_posterior is None for r in got)
+    held = {(r.group_id, float(r.value)): r.posterior for r in U.judged(facts, origins).where("field = 0").collect()}
+    assert all(r.val_posterior == held[r.group_id, rows[r.val_id][5]] for r in got)
+
+
+def test_found_is_fitted_on_all_rows(spark, monkeypatch):
+    fitted = []
+    learn = U.learn
+    monkeypatch.setattr(U, "learn", lambda rows, origins: fitted.append(learn(rows, origins)) or fitted[-1])
+    rows = sample(300, 5)
+    facts, origins = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(TRUST, "origin string, trust int")
+    assert sorted(map(tuple, U.best_sources(facts, origins).collect())) == brute(rows)
+    assert len(fitted) == 1 and fitted[0].stated.sum() > 0
+
+
+def test_groups_without_a_usable_value_are_found(spark):
+    rows = [(i, str(i // 2), "t", "u", "c", None, "N/A", None, None, "a", 0, 0) for i in range(6)] + [(7, "1", "t", "u", "c", 3.0, None, None, None, None, 0, 0)]
+    facts, origins = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(TRUST, "origin string, trust int")
+    assert sorted(map(tuple, U.best_sources(facts, origins).collect())) == [(0, -1, -1, -1, -1), (2, 7, -1, -1, -1), (4, -1, -1, -1, -1)]
+    assert U.true_values(facts, origins).count() <= 1
