@@ -222,11 +222,9 @@ def fit_table(histogram: DataFrame, sources: tuple[str | None, ...], trust: tupl
     return SourceQuality(sources, trust, model.se, model.sp, model.prior, model.stated)
 
 
-def learn(rows: DataFrame, origins: DataFrame) -> SourceQuality:
-    """The quality of all sources from all rows."""
-    sources, trust = declared_sources(origins)
-    words = _words(sources)
-    found = written(patterns(claims(rows, sources), words), "histogram")
+def _fitted(histogram: DataFrame, sources: tuple[str | None, ...], trust: tuple[int, ...]) -> SourceQuality:
+    """The model fitted to a table of ``patterns``, on the driver where they are few."""
+    words, found = _words(sources), written(histogram, "histogram")
     here = found.limit(HERE + 1).collect()
     whole = lambda r, kind: sum(r[f"{kind}{w}"] << WORD * w for w in words)
     q = fit_table(found, sources, trust) if len(here) > HERE else fit([(r["field"], whole(r, "cover"), whole(r, "mask"), r["n"]) for r in here], sources, trust)
@@ -234,6 +232,12 @@ def learn(rows: DataFrame, origins: DataFrame) -> SourceQuality:
     return q
 
 
+def learn(rows: DataFrame, origins: DataFrame) -> SourceQuality:
+    """The quality of all sources from all rows."""
+    sources, trust = declared_sources(origins)
+    return _fitted(patterns(claims(rows, sources), _words(sources)), sources, trust)
+
+
 def _order(trust: Column) -> Column:
     """The declared order as one number of fixed width: highest ``trust``, then the
     latest ``filed`` (null last), then the largest ``fact_id``."""
@@ -256,7 +260,7 @@ def picked(facts: DataFrame, origins: DataFrame) -> DataFrame:
     """
     best = F.struct("order", "posterior")
     picks = {"val_id": "val", "accession_id": "accession", "filed_id": "filed", "end_id": "end_date"}
-    chosen = judged(facts, origins).groupBy("group_id", "g1").agg(*[F.max(F.when(F.col("field") == i, best)).alias(f) for i, f in enumerate(FIELDS)])
+    chosen = judged(facts, origins, text=False).groupBy("group_id", "g1").agg(*[F.max(F.when(F.col("field") == i, best)).alias(f) for i, f in enumerate(FIELDS)])
     back = lambda f: F.expr(f"cast({f}.order % 100000000000000000000 - 9223372036854775808 as bigint)")
     return chosen.select("group_id", *[c for o, f in picks.items() for c in (F.coalesce(back(f), F.lit(-1).cast("bigint")).alias(o), F.col(f"{f}.posterior").alias(f"{f}_posterior"))])
 
@@ -286,33 +290,41 @@ def source_quality(facts: DataFrame, origins: DataFrame) -> DataFrame:
     return facts.sparkSession.createDataFrame(rows, "source string, field string, trust int, stated bigint, sensitivity double, specificity double")
 
 
-def judged(facts: DataFrame, origins: DataFrame) -> DataFrame:
+def judged(facts: DataFrame, origins: DataFrame, text: bool = True) -> DataFrame:
     """``group_id, g1, field, value, posterior, order`` of every value stated in a
     group of two or more rows, ``field`` as its number; ``order`` is the place of the
     best row by declared order that states it. Rows that state nothing usable leave
     one row of their group with field NULL. ``g1`` tells groups apart that share a
-    smallest ``fact_id``."""
-    rows = prepared(facts)
-    q = learn(rows, origins)
-    words = _words(q.sources)
-    # 128 bits stand for the group's four texts; groups of one row leave first.
+    smallest ``fact_id``. ``value`` is its text, or 64 bits of hash if not ``text``.
+
+    The model is fitted to these values and the groups of one row: the same
+    patterns as ``learn`` counts, without another pass over the rows.
+    """
+    sources, declared = declared_sources(origins)
+    words = _words(sources)
+    # 128 bits stand for the group's four texts; groups of one row are only counted.
     group = [F.xxhash64("cik", "tag", "unit", "context").alias("g1"), F.xxhash64(F.lit(1), "context", "unit", "tag", "cik").alias("g2")]
     trust = F.when(F.lit(False), F.lit(0))
-    for name, t in list(zip(q.sources, q.trust, strict=True))[1:]:
+    for name, t in list(zip(sources, declared, strict=True))[1:]:
         trust = trust.when(F.col("origin") == name, F.lit(t))
-    keyed = rows.select(*group, "fact_id", *_bits(q.sources), _order(trust.otherwise(0)).alias("order"), *FIELDS)
+    value = lambda f: (F.col(f).cast("string") if text else F.when(F.col(f).isNotNull(), F.xxhash64(f))).alias(f)
+    keyed = prepared(facts).select(*group, "fact_id", *_bits(sources), _order(trust.otherwise(0)).alias("order"), *[value(f) for f in FIELDS])
     none = F.lit(0).cast("bigint")
     covers = [F.array(*[F.coalesce(F.bit_or(F.when(F.col(f).isNotNull(), F.col(f"bit{w}"))), none) for f in FIELDS]).alias(f"covers{w}") for w in words]
-    groups = keyed.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min("fact_id").alias("group_id"), *covers).where("n > 1").drop("n")
-    stated = [
-        F.when(F.col(f).isNotNull(), F.struct(F.lit(i).alias("field"), F.col(f).cast("string").alias("value"), *[F.get(f"covers{w}", F.lit(i)).alias(f"cover{w}") for w in words]))
-        for i, f in enumerate(FIELDS)
-    ]
-    found = (
-        keyed.join(groups, ["g1", "g2"])
+    groups = written(keyed.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min("fact_id").alias("group_id"), *covers), "groups")
+    cover = lambda i: [F.get(f"covers{w}", F.lit(i)).alias(f"cover{w}") for w in words]
+    stated = [F.when(F.col(f).isNotNull(), F.struct(F.lit(i).alias("field"), F.col(f).alias("value"), *cover(i))) for i, f in enumerate(FIELDS)]
+    found = written(
+        keyed.join(groups.where("n > 1").drop("n"), ["g1", "g2"])
         .select("group_id", "g1", *[f"bit{w}" for w in words], "order", F.explode_outer(F.array_compact(F.array(*stated))).alias("c"))
-        .groupBy("group_id", "g1", "c.field", "c.value", *[F.col(f"c.cover{w}") for w in words]).agg(*_or("mask", words, "bit"), F.max("order").alias("order"))
+        .groupBy("group_id", "g1", "c.field", "c.value", *[F.col(f"c.cover{w}") for w in words]).agg(*_or("mask", words, "bit"), F.max("order").alias("order")),
+        "values",
     )
+    sets = [f"{kind}{w}" for kind in ("cover", "mask") for w in words]
+    alone = groups.where("n = 1").select(F.explode(F.array(*[F.struct(F.lit(i).alias("field"), *cover(i)) for i in range(len(FIELDS))])).alias("c"))
+    alone = alone.select("c.*").where(" or ".join(f"cover{w} <> 0" for w in words)).select("field", *[f"cover{w}" for w in words], *[F.col(f"cover{w}").alias(f"mask{w}") for w in words])
+    q = _fitted(found.where("field is not null").select("field", *sets).union(alone).groupBy("field", *sets).agg(F.count(F.lit(1)).alias("n")), sources, declared)
+    forget(groups)
     odds = F.lit(0.0)
     for i in range(len(FIELDS)):
         side = F.lit(float(np.log(q.prior[i]) - np.log1p(-q.prior[i])))
